@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, packing, passages, quality, secrets, simhash, toxicity, unigram
+from . import chat, embed_dedup, fingerprint, packing, passages, quality, secrets, simhash, toxicity, unigram
 from .common import held_out, table
 
 
@@ -56,6 +56,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated(table(spark, sf_dir, "documents"))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     coded = unigram.encode_documents(docs, unigram.load_pieces(tokenizer_path("piece_bpe_32k.model")))
@@ -65,7 +69,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_chat_formatting, op2_embedding_near_dedup, op3_toxicity, op4_quality_classifier, op5_packing,
-        op6_simhash_near_dedup, op7_secret_scans, op8_substring_dedup, op10_sentencepiece,
+        op6_simhash_near_dedup, op7_secret_scans, op8_substring_dedup, op9_document_fingerprints, op10_sentencepiece,
     ]
     return {f.__name__: f for f in found}
 
