@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .lineage import cut
 from .match import T, best_match, drop_empty_tokens, intersection_over_token, orphans
 
 #: Beyond so many tokens a table's cells keep their boxes.
@@ -212,19 +213,20 @@ def correct_overlaps(cells: DataFrame) -> DataFrame:
 def refined(cells: DataFrame, tokens: DataFrame, simple: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Cells after moving, without duplicate columns and set to their tokens; best matches; tokens left over.
 
-    Steps that several later ones read are persisted, as each would otherwise be worked out once per reader.
+    Steps that several later ones read are checkpointed, as each would otherwise be planned and worked out
+    once per reader.
     """
-    initial = intersection_over_token(cells, tokens).persist()
-    good = good_cells(cells, initial).persist()
+    initial = cut(intersection_over_token(cells, tokens))
+    good = good_cells(cells, initial)
     align = column_alignment(good)
     medians = column_medians_simplified(good, align) if simple else column_medians(good, align)
-    moved = move_bad_cells(good, align, medians, resize=simple).persist()
-    again = intersection_over_token(moved, tokens).persist()
+    moved = cut(move_bad_cells(good, align, medians, resize=simple))
+    again = cut(intersection_over_token(moved, tokens))
     gone = duplicate_columns(column_scores(moved, again if simple else initial, again))
-    kept = without_columns(moved, gone).persist()
-    best = best_match(again.join(kept.select(T, "cell_id"), [T, "cell_id"], "left_semi")).persist()
-    boxed = first_token_boxes(kept, best, tokens) if simple else align_to_tokens(kept, best, tokens)
-    return boxed.persist(), best, orphans(tokens, best).persist()
+    kept = cut(without_columns(moved, gone))
+    best = cut(best_match(again.join(kept.select(T, "cell_id"), [T, "cell_id"], "left_semi")))
+    boxed = cut(first_token_boxes(kept, best, tokens) if simple else align_to_tokens(kept, best, tokens))
+    return boxed, best, cut(orphans(tokens, best))
 
 
 def run(cells: DataFrame, tokens: DataFrame, dialect: str = "canonical") -> tuple[DataFrame, DataFrame]:

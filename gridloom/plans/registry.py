@@ -238,12 +238,12 @@ def _(spark, sf):
     return In(spark, sf).moved(True)[1].select(T, "cell_id", *_r(*"ltrb"))
 
 
-@query("a4_column_scores", "SELECT table_id, column_id, round(score,6) AS score, CAST(len(tokens) AS BIGINT) AS n_tokens, coalesce(array_to_string(tokens, ','),'') AS tokens FROM score")
+@query("a4_column_scores", "SELECT table_id, column_id, round(score,8) AS score, CAST(len(tokens) AS BIGINT) AS n_tokens, coalesce(array_to_string(tokens, ','),'') AS tokens FROM score")
 def _(spark, sf):
     i = In(spark, sf)
     m, moved = i.moved()
     s = postprocess.column_scores(moved, m, match.intersection_over_token(moved, i.tok))
-    return s.select(T, "column_id", *_r("score"), F.size("tokens").cast("long").alias("n_tokens"), F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"))
+    return s.select(T, "column_id", *_r("score", places=8), F.size("tokens").cast("long").alias("n_tokens"), F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"))
 
 
 @query("w6_duplicate_columns", "SELECT * FROM gone")
