@@ -112,11 +112,17 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def shrunk(y1: float, n1: float, y0: float, n0: float, prior: float, mean: float) -> float:
-    """Log-odds under a Dirichlet prior of weight ``prior`` and log-odds ``mean``, moved back to ``mean`` by ERRORS standard errors."""
+    """Log-odds under a Dirichlet prior of weight ``prior`` and log-odds ``mean``, drawn back to ``mean`` unless significant.
+
+    Significance is the root of the likelihood ratio statistic of the counts against the prior mean; of the
+    difference the share beyond ERRORS of it is kept.
+    """
     a1, a0 = prior * math.exp(mean / 2), prior * math.exp(-mean / 2)
     d = math.log((y1 + a1) / (n1 + a1 + a0)) - math.log((y0 + a0) / (n0 + a1 + a0))
-    se = math.sqrt(1 / (y1 + a1) + 1 / (y0 + a0))
-    return mean + math.copysign(max(0.0, abs(d - mean) - ERRORS * se), d - mean)
+    n, p = y1 + y0, 1 / (1 + math.exp(-(mean + math.log(n1 / n0))))
+    g = sum(y * math.log(y / (n * q)) for y, q in ((y1, p), (y0, 1 - p)) if y)
+    z = math.sqrt(max(0.0, 2 * g))
+    return mean + (d - mean) * max(0.0, 1 - ERRORS / z) if z else mean
 
 
 def log_odds(toxic: Counter, clean: Counter, n1: int, n0: int) -> dict[bytes, float]:
