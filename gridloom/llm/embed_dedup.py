@@ -84,7 +84,7 @@ def visits(x: np.ndarray, tables: int = TABLES, codes: int = CODES, probes: int
     return out
 
 
-HASHED = fields("cls long, dim int, x binary, codes ints")
+HASHED = fields("cls long, dim int, x binary, codes longs")
 
 
 def _hash(batches):
@@ -98,7 +98,6 @@ def _hash(batches):
                 mine = [i for i, v in enumerate(vectors) if len(v) == dim]
                 x = unit_vectors(np.stack([vectors[i] for i in mine]))
                 codes = visits(x).reshape(len(mine), -1)
-                codes = (codes ^ (codes >> 32)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[mine]),
@@ -116,7 +115,7 @@ FOUND = fields("u long, v long, n long")
 def _compare(rows: pa.Table):
     """Yields positions (i, j) of the pairs that link and have not met in an earlier table."""
     p, q = rows["p"][0].as_py(), rows["q"][0].as_py()
-    t = rows["tbl"][0].as_py()
+    t, bucket = rows["tbl"][0].as_py(), rows["bucket"][0].as_py()
     cls, home, blk = rows["cls"].to_numpy(), rows["home"].to_numpy(), rows["blk"].to_numpy()
     x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float64).reshape(len(cls), -1)
     codes = rows["codes"].combine_chunks().flatten().to_numpy().reshape(len(cls), TABLES, -1)
@@ -138,6 +137,11 @@ def _compare(rows: pa.Table):
                 for e in range(t):
                     ci, cj = codes[ii, e], codes[jj, e]
                     seen |= (ci == cj[:, :1]).any(1) | (cj == ci[:, :1]).any(1)
+                # a pair may meet in both its own buckets of a table; the lesser one counts
+                hi, hj = codes[ii, t, 0], codes[jj, t, 0]
+                other = np.where(hi == bucket, hj, hi)
+                both = (codes[jj, t] == hi[:, None]).any(1) & (codes[ii, t] == hj[:, None]).any(1)
+                seen |= both & (other < bucket)
                 ii, jj = ii[~seen], jj[~seen]
                 yield ii, jj
 
