@@ -33,6 +33,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, SEED = 12, 4, 42
 MIN_WORDS, RUN_WORDS = 40, 20
 BLOCK_ROWS = 2048
+#: Size of the bitmap of candidates, 1 MB.
+SKETCH_BITS = 1 << 23
 #: Shingles whose minima are taken at once.
 STEP = 1 << 15
 
@@ -153,14 +155,30 @@ def _paragraph_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
     return _batch(PARAGRAPHS, rows, bands)
 
 
-def _set_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    rows = {}
-    for _, text in _texts(batch):
-        for *_, words in paragraphs(text):
-            h = signed(xxhash.xxh64_intdigest(b" ".join(words), SEED))
-            if h not in rows:
-                rows[h] = shingles(words).tobytes()
-    return _batch(SETS, list(rows.items()))
+def _sketch(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size in which every hash has its bit; other hashes have theirs by chance."""
+    bit = F.pmod("h", F.lit(SKETCH_BITS)) + 1
+    rows = hashes.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    whole = np.zeros(SKETCH_BITS // 8, np.uint8)
+    for r in rows:  # at most SKETCH_BITS / 32768 of them
+        whole[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return whole
+
+
+def _set_rows(shared):
+    """Shingle sets of the paragraphs whose bit is set: no candidate is left out, few others are sent."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bits, rows = shared.value, {}
+        for _, text in _texts(batch):
+            for *_, words in paragraphs(text):
+                h = signed(xxhash.xxh64_intdigest(b" ".join(words), SEED))
+                at = h % SKETCH_BITS
+                if bits[at >> 3] >> (at & 7) & 1 and h not in rows:
+                    rows[h] = shingles(words).tobytes()
+        return _batch(SETS, list(rows.items()))
+
+    return run
 
 
 def _run_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -209,8 +227,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
     buckets = banded.groupBy("band", "key").agg(F.min("h").alias("lead"), F.max("h").alias("other")).where("lead < other")
     near = banded.join(buckets, ["band", "key"]).where("h <> lead").select(F.col("h").alias("u"), F.col("lead").alias("v")).distinct()
     cand = components(near)
-    cand = cand.union(cand.select("component", "component").distinct()).toDF("h", "comp")
-    sets = map_arrow(texts, _set_rows, SETS).groupBy("h").agg(F.first("shingles").alias("shingles"))
+    cand = cut(cand.union(cand.select("component", "component").distinct()).toDF("h", "comp"))
+    shared = docs.sparkSession.sparkContext.broadcast(_sketch(cand))
+    sets = map_arrow(texts, _set_rows(shared), SETS).groupBy("h").agg(F.first("shingles").alias("shingles"))
     laid = block_pairs(sets.join(cand, "h").select("comp", "h", "shingles"), ["comp"], "h", BLOCK_ROWS)
     order = ["comp", "p", "q"]
     links = laid.repartition(*order).sortWithinPartitions(*order).mapInArrow(_verify, LINKS)
@@ -224,7 +243,8 @@ def _repeated(units: DataFrame, key: str) -> DataFrame:
     """Units whose class more than one document holds, with the first place of it."""
     seen = units.groupBy(key).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last_doc"))
     seen = seen.where("first.doc_id < last_doc").select(key, F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
-    return units.join(seen, key).select(
+    # a stored right side lets Spark split the join where one class is very common
+    return units.join(cut(seen), key).select(
         "doc_id", "w0", "w1", "start", "stop", "cls", "first_doc",
         ((F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))).alias("kept"),
     )
