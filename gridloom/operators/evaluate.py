@@ -5,6 +5,7 @@ Detections: variant, image, ord, label, score, l, t, r, b. Timings: document, st
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,7 +54,7 @@ def box_count_change(found: DataFrame, variant: str, base: str = "baseline") ->
 def greedy_pairs(found: DataFrame, variant: str, base: str = "baseline", least: float = 0.1) -> DataFrame:
     """One-to-one pairs per image and label: base boxes in order take the best unused box, if its IoU reaches ``least``.
 
-    Candidates come from an equi-join with overlap; the order-dependent choice runs per image and label.
+    Candidates come from an equi-join with overlap; the order-dependent choice runs per image.
     """
     a, b = found.where(F.col("variant") == base).alias("a"), found.where(F.col("variant") == variant).alias("b")
     near = a.join(b, (F.col("a.image") == F.col("b.image")) & (F.col("a.label") == F.col("b.label")) & G.overlaps(G.box("a."), G.box("b."))).select(
@@ -61,15 +62,16 @@ def greedy_pairs(found: DataFrame, variant: str, base: str = "baseline", least:
     )
 
     def choose(t: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for _, g in t.sort_values(["x", "y"]).groupby("x", sort=True):
-            g = g[~g["y"].isin(used)]
-            if len(g) and (best := g.loc[g["iou"].idxmax()])["iou"] >= least:
-                used.add(best["y"])
-                out.append(best)
-        return pd.DataFrame(out, columns=t.columns)
-
-    return near.groupBy("image", "label").applyInPandas(choose, near.schema)
+        x, y, iou = (t[c].to_numpy() for c in ("x", "y", "iou"))
+        used, best = set(), {}
+        for i in np.lexsort((y, -iou, x)):
+            if x[i] not in best and y[i] not in used:
+                best[x[i]] = i
+                if iou[i] >= least:
+                    used.add(y[i])
+        return t.iloc[[i for i in best.values() if iou[i] >= least]]
+
+    return near.groupBy("image").applyInPandas(choose, near.schema)
 
 
 def label_counts(found: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import assemble, decode, evaluate, match, otsl, postprocess
+from ..operators.lineage import cut
 from ..operators.match import T
 from ..sources import fixtures as fx
 
@@ -152,14 +153,14 @@ class In:
         self.tok = match.drop_empty_tokens(self.pdf)
 
     def good(self):
-        m = match.intersection_over_token(self.cells, self.tok)
+        m = cut(match.intersection_over_token(self.cells, self.tok))
         g = postprocess.good_cells(self.cells, m)
         return m, g, postprocess.column_alignment(g)
 
     def moved(self, simple: bool = False):
         m, g, a = self.good()
         med = (postprocess.column_medians_simplified if simple else postprocess.column_medians)(g, a)
-        return m, postprocess.move_bad_cells(g, a, med, resize=simple)
+        return m, cut(postprocess.move_bad_cells(g, a, med, resize=simple))
 
 
 @query("flagship_best_match", "SELECT table_id, pdf_cell_id, cell_id, round(iopdf,6) AS iopdf FROM best0")
