@@ -4,8 +4,11 @@ Paragraphs (lines) of at least ``MIN_WORDS`` words are compared by their sets of
 signatures cut into ``BANDS`` bands of ``ROWS`` values, which at a Jaccard similarity of 0.8 let over 99.8 %
 of pairs collide; colliding paragraphs form candidate components, inside which every pair is verified by
 exact Jaccard similarity through an inverted index, and verified links give the classes by components.
-Passages inside longer paragraphs are units too: from every sentence on, the shortest run of sentences
-of ``RUN_WORDS`` words or more, which needs no banding as it is compared by equality.
+Passages anywhere else are found by equality, whatever lines or sentences they lie in: every window of
+``RUN_WORDS`` words that another document holds is a unit. To compare few windows, each text is first cut
+down to anchors, the least hashes of ``ANCHOR_WORDS`` words among any ``RUN_WORDS - ANCHOR_WORDS + 1`` in a
+row. Every window holds an anchor that depends on its own words only, so a repeated window holds a repeated
+anchor, and only windows around those are sent.
 
 Of each class that more than one document holds, the first occurrence (least doc_id, then place) stays.
 Occurrences are merged per document where they touch, and merged passages of at least ``MIN_WORDS``
@@ -31,14 +34,17 @@ from .common import Forest, block_pairs, components, cut, fields, map_arrow, run
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, SEED = 12, 4, 42
-MIN_WORDS, RUN_WORDS = 40, 20
+MIN_WORDS, RUN_WORDS, ANCHOR_WORDS = 40, 20, 10
 BLOCK_ROWS = 2048
 #: Size of the bitmap of candidates, 1 MB.
 SKETCH_BITS = 1 << 23
 #: Shingles whose minima are taken at once.
 STEP = 1 << 15
 
-SENTENCE_END = re.compile(r"[.!?]+[^\S\n]+|\n+")
+#: Words as bytes.split() finds them.
+WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+FACTOR = 0xD1342543DE82EF95
+INVERSE = pow(FACTOR, -1, 1 << 64)
 _rng = np.random.default_rng(SEED)
 MULTIPLIERS = _rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
 ADDENDS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -96,40 +102,54 @@ def paragraphs(text: str):
         at += len(line) + 1
 
 
-def sentence_runs(text: str):
-    """(first word, past last word, start, stop, hash) of the shortest long enough run from each sentence on."""
-    starts, stops, counts, digests = [], [], [], []
-    at = 0
-    for m in SENTENCE_END.finditer(text):
-        stop = m.start() if m[0][0] == "\n" else m.start() + len(m[0].rstrip())
-        if stop > at:
-            words = text[at:stop].encode("utf-8", "replace").lower().split()
-            if words:
-                starts.append(at), stops.append(stop), counts.append(len(words))
-                digests.append(xxhash.xxh64_digest(b" ".join(words), SEED))
-        at = m.end()
-    if at < len(text):
-        words = text[at:].encode("utf-8", "replace").lower().split()
-        if words:
-            starts.append(at), stops.append(len(text)), counts.append(len(words))
-            digests.append(xxhash.xxh64_digest(b" ".join(words), SEED))
-    before = [0]
-    for n in counts:
-        before.append(before[-1] + n)
-    end = 0
-    for i in range(len(starts)):
-        end = max(end, i + 1)
-        while end < len(starts) and before[end] - before[i] < RUN_WORDS:
-            end += 1
-        if before[end] - before[i] < RUN_WORDS:
-            break
-        yield before[i], before[end], starts[i], stops[end - 1], xxhash.xxh64_intdigest(b"".join(digests[i:end]), SEED + 1)
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1) modulo 2 ** 64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out, dtype=np.uint64)
+
+
+def word_hashes(text: str) -> np.ndarray:
+    words = text.encode("utf-8", "replace").lower().split()
+    return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+
+
+def grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k words from every place on: a polynomial of the words' hashes, mixed."""
+    n = len(hashes)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * powers(FACTOR, n), dtype=np.uint64, out=sums[1:])
+    x = (sums[k:] - sums[:-k]) * powers(INVERSE, n - k + 1)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def slide(f, x: np.ndarray, n: int) -> np.ndarray:
+    """f (minimum or maximum) over every n values in a row."""
+    step = 1
+    while step * 2 <= n:
+        x = f(x[:-step], x[step:])
+        step *= 2
+    return f(x[: len(x) - (n - step)], x[n - step :]) if n > step else x
+
+
+def anchors(values: np.ndarray) -> np.ndarray:
+    """Places of the values that are least in some window; none in texts of under RUN_WORDS words."""
+    n = RUN_WORDS - ANCHOR_WORDS + 1
+    if len(values) < n:
+        return np.zeros(0, np.int64)
+    rim = np.zeros(n - 1, np.uint64)
+    return np.flatnonzero(values == slide(np.maximum, np.concatenate([rim, slide(np.minimum, values, n), rim]), n))
 
 
 SPAN = "w0 int, w1 int, start int, stop int"
 PARAGRAPHS = fields(f"h long, doc_id long, {SPAN}, bands longs")
 SETS = fields("h long, shingles binary")
-RUNS = fields(f"h long, doc_id long, {SPAN}")
+ANCHORS = fields("h long, doc_id long, at int")
+WINDOWS = fields(f"h long, doc_id long, {SPAN}")
 
 
 def _batch(schema: T.StructType, rows: list[tuple], *more: pa.Array) -> pa.RecordBatch:
@@ -181,8 +201,45 @@ def _set_rows(shared):
     return run
 
 
-def _run_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return _batch(RUNS, [(signed(h), doc, w0, w1, a, b) for doc, text in _texts(batch) for w0, w1, a, b, h in sentence_runs(text)])
+def _columns(schema: T.StructType, rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """A batch of ``schema`` from rows of column pieces."""
+    kinds = [np.int64 if isinstance(f.dataType, T.LongType) else np.int32 for f in schema]
+    cols = [np.concatenate([np.zeros(0, k), *c]).astype(k) for k, c in zip(kinds, list(zip(*rows)) or [()] * len(kinds))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=schema.names)
+
+
+def _anchor_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    rows = []
+    for doc, text in _texts(batch):
+        values = grams(word_hashes(text), ANCHOR_WORDS)
+        at = anchors(values)
+        rows.append((values[at].view(np.int64), np.full(len(at), doc, np.int64), at))
+    return _columns(ANCHORS, rows)
+
+
+def _window_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """All windows that hold one of the anchors in column ``at``."""
+    rows = []
+    for (doc, text), at in zip(_texts(batch), batch.column("at").to_pylist()):
+        values = grams(word_hashes(text), RUN_WORDS)
+        near = np.zeros(len(values), bool)
+        places = np.array(at)
+        for back in range(RUN_WORDS - ANCHOR_WORDS + 1):
+            w0 = places - back
+            near[w0[(w0 >= 0) & (w0 < len(values))]] = True
+        w0 = np.flatnonzero(near)
+        spans = np.array([m.span() for m in WORD.finditer(text)], np.int64).reshape(-1, 2)
+        rows.append((values[w0].view(np.int64), np.full(len(w0), doc, np.int64), w0, w0 + RUN_WORDS, spans[w0, 0], spans[w0 + RUN_WORDS - 1, 1]))
+    return _columns(WINDOWS, rows)
+
+
+def _windows(texts: DataFrame) -> DataFrame:
+    """Every window around an anchor that more than one document holds; all repeated windows are among them."""
+    found = map_arrow(texts, _anchor_rows, ANCHORS)
+    common = found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
+    # a stored right side lets Spark split the join where one anchor is very common
+    marks = found.join(cut(common), "h").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
+    return map_arrow(cut(texts.join(marks, "doc_id")), _window_rows, WINDOWS)
 
 
 LINKS = fields("u long, v long")
@@ -236,7 +293,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     classes = components(links).withColumnRenamed("node", "h")
     units = found.drop("bands").join(classes, "h", "left").withColumn("cls", F.coalesce("component", "h")).drop("component", "h")
 
-    return _repeated(units, "cls").unionByName(_repeated(map_arrow(texts, _run_rows, RUNS).withColumnRenamed("h", "cls"), "cls"))
+    return _repeated(units, "cls").unionByName(_repeated(_windows(texts).withColumnRenamed("h", "cls"), "cls"))
 
 
 def _repeated(units: DataFrame, key: str) -> DataFrame:
@@ -250,36 +307,32 @@ def _repeated(units: DataFrame, key: str) -> DataFrame:
     )
 
 
+MERGED = T.StructType([fields("doc_id long")[0], fields("kept boolean")[0], *fields(f"{SPAN}, cls long, first_doc long")])
+
+
+def _merge_rows(batches):
+    rows, size = [], 0
+    for unit in runs(batches, ("doc_id", "kept")):
+        w0, w1, start, stop, cls, first = (unit[c].to_numpy() for c in MERGED.names[2:])
+        cuts = np.flatnonzero(np.concatenate([[True], w0[1:] > np.maximum.accumulate(w1)[:-1]]))
+        ends = np.maximum.reduceat(w1, cuts)
+        long = ends - w0[cuts] >= MIN_WORDS
+        same = [np.full(long.sum(), unit[c][0].as_py()) for c in ("doc_id", "kept")]
+        least = (np.minimum.reduceat(c, cuts)[long] for c in (cls, first))
+        rows.append((*same, w0[cuts][long], ends[long], start[cuts][long], np.maximum.reduceat(stop, cuts)[long], *least))
+        size += len(rows[-1][0])
+        if size >= BLOCK_ROWS or len(rows) >= BLOCK_ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=MERGED.names)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=MERGED.names)
+
+
 def _merged(units: DataFrame) -> DataFrame:
     """Touching units of a document merged, by kept or not; those of MIN_WORDS words or more."""
-    places = units.groupBy("doc_id", "kept", "w0", "w1", "start", "stop").agg(F.min("cls").alias("cls"), F.min("first_doc").alias("first_doc"))
     # a document's places are bounded by its length
-    lists = places.groupBy("doc_id", "kept").agg(F.array_sort(F.collect_list(F.struct("w0", "w1", "start", "stop", "cls", "first_doc"))).alias("all"))
-    joined = F.aggregate(
-        "all",
-        F.array().cast("array<struct<w0:int,w1:int,start:int,stop:int,cls:bigint,first_doc:bigint>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["w1"] >= x["w0"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(acc, -1)["w0"].alias("w0"),
-                        F.greatest(F.element_at(acc, -1)["w1"], x["w1"]).alias("w1"),
-                        F.element_at(acc, -1)["start"].alias("start"),
-                        F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop"),
-                        F.least(F.element_at(acc, -1)["cls"], x["cls"]).alias("cls"),
-                        F.least(F.element_at(acc, -1)["first_doc"], x["first_doc"]).alias("first_doc"),
-                    )
-                ),
-            ),
-        ).otherwise(F.array_append(acc, x)),
-    )
-    return (
-        lists.select("doc_id", "kept", F.explode(joined).alias("x"))
-        .select("doc_id", "kept", "x.*")
-        .where(F.col("w1") - F.col("w0") >= MIN_WORDS)
-    )
+    order = ["doc_id", "kept", "w0", "start"]
+    return units.select(*MERGED.names).repartition("doc_id").sortWithinPartitions(*order).mapInArrow(_merge_rows, MERGED)
 
 
 def repeated(docs: DataFrame) -> DataFrame:

@@ -203,3 +203,15 @@ def test_chat(spark):
     parts = chat.rotate(spark.createDataFrame([(1, i, "ab"[i % 2], f"t{i}") for i in range(10)], "conv_id long, turn long, role string, text string"), part_turns=3)
     mine = sorted((r for r in parts.collect() if r["participant"] == "a"), key=lambda r: r["part"])
     assert [r["start"] for r in mine] == [sum(len(x["text"]) for x in mine[:k]) for k in range(4)]
+
+
+def test_repeated_passage_in_mid_sentence(spark):
+    """51 words inside longer lines, the second time over two lines: no sentence of it is whole."""
+    passage = words(51, 31).split()
+    texts = [words(60, 32 + i) + " " + sep.join([" ".join(passage[:25]), " ".join(passage[25:])]) + " " + words(60, 42 + i) for i, sep in enumerate([" ", "\n", " "])]
+    d = docs(spark, [*texts, words(150, 60), " ".join([words(30, 61), *passage[:39], words(30, 62)])])
+    rows = {r["doc_id"]: r for r in passages.repeated(d).collect()}
+    assert set(rows) == {0, 1, 2} and [rows[i]["kept"] for i in range(3)] == [True, False, False]
+    assert all(r["n_words"] == 51 and texts[i][r["start"] : r["stop"]].split() == passage for i, r in rows.items())
+    left = {r["doc_id"]: r["text"] for r in passages.remove(d).collect()}
+    assert left[0] == texts[0] and all(left[i].split() == texts[i].split()[:60] + texts[i].split()[111:] for i in (1, 2))
