@@ -102,10 +102,10 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def scan_text(text: str | None) -> tuple[list, list]:
-    """(base spans, all spans); a `literal` inside or around a base span's value is not repeated."""
+    """(base spans, all spans); a `literal` that a base span holds whole is not repeated."""
     text = text or ""
     base = base_spans(text)
-    extra = [s for s in literals(text) if not any(a < s[2] and s[1] < b for _, a, b in base)]
+    extra = [s for s in literals(text) if not any(a <= s[1] and s[2] <= b for _, a, b in base)]
     return base, base + extra
 
 
