@@ -33,11 +33,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: A cheap look for anything that the lexer could use.
 HINT = re.compile(r"[:=>]")
-#: name, separator, then a quoted literal, a bare literal or a reference.
-PAIR = re.compile(
-    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,63})["']?\x20{0,4}(?::=|=>|=|:|>)\x20{0,4}"""
-    r"""(?:(?P<q>["'`])(?P<lit>[^"'`\n]{1,512})(?P=q)|(?P<bare>[A-Za-z0-9+/_.=~$@-]{1,512}))"""
-)
+#: Between a name and its value.
+SEPARATOR = re.compile(r":=|=>|=|:|>")
+NAME_CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-"
+BLANKS = re.compile(r"[ \t]*")
+#: A literal up to its own quote on the same line; backslashes escape.
+QUOTED = re.compile(r"""(["'`])((?:(?!\1)[^\\\n]|\\.)++)\1""")
+BARE = re.compile(r"[A-Za-z0-9+/_.=~$@!#%^*-]++")
 #: Parts of names that make a literal sensitive, with weights.
 SENSITIVE = {
     "password": 3.0, "passwd": 3.0, "pwd": 3.0, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0,
@@ -66,22 +68,34 @@ def literal_weight(text: str) -> float:
     return min(3.0, max(0.0, bits - 2.0) + 0.5 * (classes - 1))
 
 
+def pairs(text: str):
+    """(name, its literal's match, whether quoted), in one pass: a name is looked for behind its separator,
+    never before the last pair or separator, so that lengths need no bounds."""
+    at = 0
+    while sep := SEPARATOR.search(text, at):
+        before = text[at : sep.start()].rstrip(" \t")
+        before = before[:-1] if before.endswith(('"', "'")) else before
+        name = before[len(before.rstrip(NAME_CHARS)) :].lstrip("0123456789.-")
+        at = sep.end()
+        if name:
+            start = BLANKS.match(text, at).end()
+            value = QUOTED.match(text, start) or BARE.match(text, start)
+            if value:
+                yield name, value, value.re is QUOTED
+                at = value.end()
+
+
 def literals(text: str) -> list[tuple[str, int, int]]:
     """`literal` spans of a text by assignment-aware lexing."""
     if not HINT.search(text):
         return []
     found, defined = [], {}
     reach: dict[tuple[int, int], float] = {}
-    for m in PAIR.finditer(text):
-        name, weight = m["name"], name_weight(m["name"])
-        if m["lit"] is not None:
-            span = m.span("lit")
-        elif m["bare"] in defined:  # a constant used under another name
-            span = defined[m["bare"]]
-        else:
-            span = m.span("bare")
+    for name, value, quoted in pairs(text):
+        # a bare value may be a constant used under another name
+        span = value.span(2) if quoted else defined.get(value[0], value.span())
         defined[name] = span
-        reach[span] = max(reach.get(span, 0.0), weight)
+        reach[span] = max(reach.get(span, 0.0), name_weight(name))
     for (a, b), weight in reach.items():
         if weight > 0 and weight + literal_weight(text[a:b]) >= THRESHOLD and literal_weight(text[a:b]) > 0:
             found.append(("literal", a, b))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -229,3 +230,16 @@ def test_secrets_beyond_base_spans():
             assert secrets.mask(text, spans).endswith('"\nend') and not any(value[i : i + 5] in secrets.mask(text, spans) for i in range(len(value) - 4))
     base, spans = secrets.scan_text('password = "abcdef1234"')
     assert base == spans
+
+
+def test_secrets_without_caps():
+    """Long names and values, tabs and aligned columns."""
+    value = "".join(random.Random(4).choices("abcdefghXYZ0123456789", k=3000))
+    for text in (f'private_key = "{value}"', f"signing_credential: {value}", f'private_key\t=\t"{value}"', f'private_key{" " * 10}={" " * 10}"{value}"', f'{"n" * 100}_private_key = "{value}"'):
+        _, spans = secrets.scan_text(text)
+        a = text.index(value)
+        assert ("literal", a, a + len(value)) in spans
+    for text in ("a" * 1_000_000, "a=" * 300_000, 'a="' * 300_000, ": " * 300_000, "a " * 300_000 + "=", "a" + " " * 600_000):
+        began = time.time()
+        secrets.scan_text(text)
+        assert time.time() - began < 20
