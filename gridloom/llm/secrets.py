@@ -2,8 +2,8 @@
 
 Base patterns find `assign`, `access` and `hex` spans. Beyond them the text is lexed as source or
 configuration syntax: name-literal pairs (``name = "literal"``, ``name: literal``, ``export name=literal``,
-``<name>literal</name>``), concatenated literals, and constants that another name refers to
-(``a = "..."`` then ``db_password = a``). A literal is scored by the sensitivity of the names it
+``<name>literal</name>``), adjacent or ``+``-joined literals, which make one value, and constants that
+another name refers to (``a = "..."`` before or after ``db_password = a``, ``$a``, ``${a}``). A literal is scored by the sensitivity of the names it
 reaches, its character classes and its entropy; those at or above a threshold become `literal` spans.
 
 Positions are code points, end exclusive. A null text counts as empty and has no spans; rows with
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -38,8 +39,14 @@ SEPARATOR = re.compile(r":=|=>|=|:|>")
 NAME_CHARS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-"
 BLANKS = re.compile(r"[ \t]*")
 #: A literal up to its own quote on the same line; backslashes escape.
-QUOTED = re.compile(r"""(["'`])((?:(?!\1)[^\\\n]|\\.)++)\1""")
-BARE = re.compile(r"[A-Za-z0-9+/_.=~$@!#%^*-]++")
+QUOTED = re.compile(r"""[bBfFrRuU]{0,2}(["'`])((?:(?!\1)[^\\\n]|\\.)++)\1""")
+#: Between the parts of one value, outside and inside of parentheses.
+PLUS = re.compile(r"[ \t]*(?:\\?\n[ \t]*)?\+[ \t]*(?:\\?\n[ \t]*)?")
+ADJACENT = re.compile(r"[ \t]*(?:\\\n[ \t]*)?")
+OPEN, INSIDE = re.compile(r"\([ \t]*\n?[ \t]*"), re.compile(r"\s*(?:\+\s*)?")
+IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*+")
+REFERENCE = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_.-]*+)\}|([A-Za-z_][A-Za-z0-9_]*+))")
+SHELL = re.compile(r"(?:\$\{[A-Za-z_][A-Za-z0-9_.-]*+\}|[A-Za-z0-9+/_.=~$@!#%^*-])++")
 #: Parts of names that make a literal sensitive, with weights.
 SENSITIVE = {
     "password": 3.0, "passwd": 3.0, "pwd": 3.0, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0,
@@ -68,38 +75,112 @@ def literal_weight(text: str) -> float:
     return min(3.0, max(0.0, bits - 2.0) + 0.5 * (classes - 1))
 
 
+def term(text: str, at: int, bare: bool) -> tuple[int, tuple[int, int] | None, list[str]] | None:
+    """(end, span, names referred to) of a literal or, if ``bare``, of an unquoted value.
+
+    The span is None where the term is nothing but ``$`` references.
+    """
+    m = QUOTED.match(text, at)
+    span = m and m.span(2)
+    if not m and bare and (m := SHELL.match(text, at)):
+        span = m.span()
+    if not m:
+        return None
+    inside = text[span[0] : span[1]]
+    names = [r[1] or r[2] for r in REFERENCE.finditer(inside)] if "$" in inside else []
+    return m.end(), span, names
+
+
 def pairs(text: str):
-    """(name, its literal's match, whether quoted), in one pass: a name is looked for behind its separator,
-    never before the last pair or separator, so that lengths need no bounds."""
+    """(name, terms of its value), in one pass: a name is looked for behind its separator, never before the
+    last pair or separator, so that lengths need no bounds. A term is its span and the names it refers to."""
     at = 0
     while sep := SEPARATOR.search(text, at):
         before = text[at : sep.start()].rstrip(" \t")
         before = before[:-1] if before.endswith(('"', "'")) else before
         name = before[len(before.rstrip(NAME_CHARS)) :].lstrip("0123456789.-")
         at = sep.end()
-        if name:
-            start = BLANKS.match(text, at).end()
-            value = QUOTED.match(text, start) or BARE.match(text, start)
-            if value:
-                yield name, value, value.re is QUOTED
-                at = value.end()
+        if not name:
+            continue
+        start = BLANKS.match(text, at).end()
+        opened = OPEN.match(text, start)
+        found = term(text, opened.end() if opened else start, not opened)
+        if not found:
+            continue
+        at, span, names = found
+        quoted, terms = text[at - 1] in "\"'`", [(span, names)]
+        if not quoted:  # an unquoted sum of names, maybe up to a literal
+            parts = text[span[0] : span[1]].rstrip("+").split("+")
+            if all(map(IDENTIFIER.fullmatch, parts)):
+                terms = [(span, parts)]
+            if text[at - 1] == "+" and (found := term(text, at, False)):
+                at, quoted = found[0], True
+                terms.append(found[1:])
+        while True:
+            if opened:
+                plus = INSIDE.match(text, at)
+            else:
+                plus = PLUS.match(text, at) or (ADJACENT.match(text, at) if quoted else None)
+            if not plus:
+                break
+            if found := term(text, plus.end(), False):
+                if len(terms) == 1 and not quoted and IDENTIFIER.fullmatch(text, *terms[0][0]):
+                    terms[0] = (None, terms[0][1])
+                at, quoted = found[0], True
+                terms.append(found[1:])
+            elif "+" in plus[0] and (m := IDENTIFIER.match(text, plus.end())):
+                at, quoted = m.end(), False
+                terms.append((None, [m[0]]))
+            else:
+                break
+        yield name, terms
 
 
 def literals(text: str) -> list[tuple[str, int, int]]:
     """`literal` spans of a text by assignment-aware lexing."""
     if not HINT.search(text):
         return []
-    found, defined = [], {}
-    reach: dict[tuple[int, int], float] = {}
-    for name, value, quoted in pairs(text):
-        # a bare value may be a constant used under another name
-        span = value.span(2) if quoted else defined.get(value[0], value.span())
-        defined[name] = span
-        reach[span] = max(reach.get(span, 0.0), name_weight(name))
-    for (a, b), weight in reach.items():
-        if weight > 0 and weight + literal_weight(text[a:b]) >= THRESHOLD and literal_weight(text[a:b]) > 0:
-            found.append(("literal", a, b))
-    return found
+    values = list(pairs(text))
+    defined: dict[str, list[int]] = {}
+    for i, (name, _) in enumerate(values):
+        defined.setdefault(name, []).append(i)
+    # the weight of each name, and of all names that it reaches: the heaviest first, each name once
+    weights = {n: name_weight(n) for n in defined}
+    reach: dict[str, float] = {}
+    for name in sorted(weights, key=weights.get, reverse=True):
+        if weights[name] <= 0:
+            break
+        stack = [name]
+        while stack:
+            if (n := stack.pop()) not in reach:
+                reach[n] = weights[name]
+                stack += [r for i in defined[n] for _, refs in values[i][1] for r in refs if r in defined]
+
+    def spans(i: int) -> list[tuple[int, int]]:
+        """The spans of a value, names replaced by their last definition before, else the first."""
+        out, seen, stack = [], {values[i][0]}, [(i, t) for t in values[i][1][::-1]]
+        while stack:
+            k, (span, refs) = stack.pop()
+            known = [r for r in refs if r in defined]
+            whole = span and (text[span[0] : span[1]] in known or set(text[span[0] : span[1]].rstrip("+").split("+")) <= set(known) or known and not REFERENCE.sub("", text[span[0] : span[1]]))
+            if span and not whole:
+                out.append(span)
+            for r in known[::-1]:
+                if r not in seen:
+                    seen.add(r)
+                    places = defined[r]
+                    j = places[max(0, bisect_left(places, k) - 1)]
+                    stack += [(j, t) for t in values[j][1][::-1]]
+        return list(dict.fromkeys(out))
+
+    found = set()
+    for i, (name, _) in enumerate(values):
+        if name in reach:
+            parts = spans(i)
+            value = literal_weight("".join(text[a:b] for a, b in parts))
+            if value > 0 and reach[name] + value >= THRESHOLD:
+                found.update(parts)
+    return [("literal", a, b) for a, b in sorted(found)]
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:

@@ -243,3 +243,18 @@ def test_secrets_without_caps():
         began = time.time()
         secrets.scan_text(text)
         assert time.time() - began < 20
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'private_key = "Zx9q" + "Q2p7LwTt"', 'private_key = "Zx9q" "Q2p7LwTt"', 'private_key = ("Zx9q"\n    "Q2p7LwTt")',
+        'private_key = "Zx9q" + \\\n  "Q2p7LwTt"', 'private_key = "Zx9q" + tail\ntail = "Q2p7LwTt"', 'private_key = a+b\na = "Zx9q"\nb = "Q2p7LwTt"',
+        'db_password = a\na = "Zx9qQ2p7LwTt"', 'x = "Zx9qQ2p7LwTt"\ny = x\nprivate_key = y', 'private_key = y\ny = x\nx = "Zx9qQ2p7LwTt"',
+        "export A=Zx9qQ2p7LwTt\nexport PRIVATE_KEY=$A", 'PRIVATE_KEY="${A}"\nA=Zx9qQ2p7LwTt', "PRIVATE_KEY=${A}\nA=Zx9qQ2p7LwTt", "PRIVATE_KEY=${A}${B}\nA=Zx9q\nB=Q2p7LwTt",
+        'head = "Zx9q"\nprivate_key = head + "Q2p7LwTt"', 'head = "Zx9q"\nprivate_key = head+"Q2p7LwTt"', 'a = b\nb = a\nprivate_key = a + "Zx9q" + "Q2p7LwTt"',
+    ],
+)
+def test_secrets_joined_and_referred_to(text):
+    _, spans = secrets.scan_text(text)
+    assert "".join(text[a:b] for k, a, b in sorted(spans, key=lambda s: s[1]) if k == "literal") == "Zx9qQ2p7LwTt"
