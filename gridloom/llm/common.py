@@ -79,6 +79,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
+    if e.isEmpty():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _spread_min(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -1,22 +1,32 @@
-"""Substring dedup: repeated passages by paragraph MinHash banding and exact sentence runs.
-
-Paragraphs (lines) of at least ``MIN_WORDS`` words are compared by their sets of 5-word shingles: MinHash
-signatures cut into ``BANDS`` bands of ``ROWS`` values, which at a Jaccard similarity of 0.8 let over 99.8 %
-of pairs collide; colliding paragraphs form candidate components, inside which every pair is verified by
-exact Jaccard similarity through an inverted index, and verified links give the classes by components.
-Passages anywhere else are found by equality, whatever lines or sentences they lie in: every window of
-``RUN_WORDS`` words that another document holds is a unit. To compare few windows, each text is first cut
-down to anchors, the least hashes of ``ANCHOR_WORDS`` words among any ``RUN_WORDS - ANCHOR_WORDS + 1`` in a
-row. Every window holds an anchor that depends on its own words only, so a repeated window holds a repeated
-anchor, and only windows around those are sent.
-
-Of each class that more than one document holds, the first occurrence (least doc_id, then place) stays.
-Occurrences are merged per document where they touch, and merged passages of at least ``MIN_WORDS``
-words count. Words are blank-separated and compared lower-cased.
-
-Counting goes by minima and maxima with map-side combine, so a passage that a third of the documents
-hold costs one row per task; members are only met in plain joins, which Spark can split. Documents with
-a null id are left alone, null and empty texts hold no passage. Rows of one id are one document.
+"""Substring dedup: repeated passages by MinHash banding of paragraphs and of all overlapping word windows.
+
+Words are blank-separated and compared lower-cased; a passage is ``MIN_WORDS`` words or more that another
+document holds too. Two kinds of units are banded over their sets of 5-word shingles:
+
+* paragraphs (lines of ``MIN_WORDS`` words or more): ``BANDS`` bands of ``ROWS`` values, so that at a Jaccard
+  similarity of 0.8 over 99.6 % of pairs collide; candidates are the components of what collides, inside which
+  every pair is verified by exact Jaccard similarity through an inverted index, and the classes are the
+  components of verified links.
+* every window of ``MIN_WORDS`` words, wherever it lies: one band of ``WINDOW_ROWS`` values, in which equal
+  windows collide for certain. Neighbouring windows mostly have the same least shingles, so that a text has
+  one row for each run of windows with the same band key and the same place of its least shingle. Windows of
+  colliding runs are verified for equality (edit distance 0) of whole windows with the first run of their key,
+  place by place; those that differ from it are compared among each other by their hashes. Equality is
+  transitive, so a class of equal windows is a component by itself.
+
+Overlapping windows of a document join to the passage's true first and last word. Of each class that more
+than one document holds, the first occurrence (least doc_id, then place) stays.
+
+Texts are parsed once for all keys; only those with candidates are read again. They are picked by a bitmap of
+fixed size (``SKETCH_BITS``, 4 MB, broadcast), which lets some others through and loses none: beyond some
+10^8 such documents it spares little, and then whole texts are shuffled. Counting goes by minima and maxima
+with map-side combine, and members meet their class in plain joins with a stored right side, which Spark can
+split, so a passage that a third of the documents hold is no one task's work.
+
+Defined cases: documents with a null id are left alone; null and empty texts hold no passage; rows of one id
+are one document, their places counted in each row's own text; equal texts are repeats of the one of least
+id; no rows give no rows; texts of any length are read whole, one at a time; other columns are kept as they
+are, whatever their names. Ids must be integers (anything else is an error).
 """
 
 from __future__ import annotations
@@ -33,16 +43,19 @@ from pyspark.sql import types as T
 from .common import Forest, block_pairs, components, cut, fields, map_arrow, runs
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS, SEED = 12, 4, 42
-MIN_WORDS, RUN_WORDS, ANCHOR_WORDS = 40, 20, 10
+BANDS, ROWS, WINDOW_ROWS, SEED = 8, 3, 2, 42
+MIN_WORDS = 50
+#: Shingles of a window.
+WIDTH = MIN_WORDS - SHINGLE + 1
 BLOCK_ROWS = 2048
-#: Size of the bitmap of candidates, 1 MB.
-SKETCH_BITS = 1 << 23
+#: Size of the bitmap of documents to be read again, 4 MB.
+SKETCH_BITS = 1 << 25
 #: Shingles whose minima are taken at once.
 STEP = 1 << 15
 
 #: Words as bytes.split() finds them.
 WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+BLANKS = re.compile(r"[ \t\n\r\x0b\x0c]*")
 FACTOR = 0xD1342543DE82EF95
 INVERSE = pow(FACTOR, -1, 1 << 64)
 _rng = np.random.default_rng(SEED)
@@ -50,17 +63,15 @@ MULTIPLIERS = _rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) | np.uint64(1)
 ADDENDS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def permuted(x: np.ndarray, k: int) -> np.ndarray:
+    """The k-th permutation of 64-bit values."""
+    x = x * MULTIPLIERS[k] + ADDENDS[k]
+    return x ^ (x >> np.uint64(31))
 
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of 5-word shingles; fewer words: of the whole."""
-    h = xxhash.xxh64_intdigest
-    if len(words) < SHINGLE:
-        return np.array([h(b" ".join(words), SEED)], np.uint64)
-    grams = zip(*(words[i:] for i in range(SHINGLE)))
-    return np.unique(np.fromiter((h(b" ".join(g), SEED) for g in grams), np.uint64))
+def chained(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    keys = (keys ^ x) * np.uint64(0x9E3779B97F4A7C15)
+    return keys ^ (keys >> np.uint64(29))
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -75,8 +86,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         joined = np.concatenate(sets[at:end])
         cuts = np.cumsum([0, *(len(s) for s in sets[at : end - 1])])
         for k in range(BANDS * ROWS):
-            mixed = joined * MULTIPLIERS[k] + ADDENDS[k]
-            out[at:end, k] = np.minimum.reduceat(mixed ^ (mixed >> np.uint64(31)), cuts)
+            out[at:end, k] = np.minimum.reduceat(permuted(joined, k), cuts)
         at = end
     return out
 
@@ -86,22 +96,10 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     parts = signature.reshape(len(signature), BANDS, ROWS)
     keys = np.zeros(parts.shape[:2], np.uint64)
     for r in range(ROWS):
-        keys = (keys ^ parts[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(29)
+        keys = chained(keys, parts[:, :, r])
     return keys.view(np.int64)
 
 
-def paragraphs(text: str):
-    """(first word, past last word, start, stop, words) of each line of MIN_WORDS words or more."""
-    at = word = 0
-    for line in text.split("\n"):
-        words = line.encode("utf-8", "replace").lower().split()
-        if len(words) >= MIN_WORDS:
-            yield word, word + len(words), at, at + len(line), words
-        word += len(words)
-        at += len(line) + 1
-
-
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 to base ** (n - 1) modulo 2 ** 64."""
     out = np.full(n, base, np.uint64)
@@ -109,11 +107,6 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out, dtype=np.uint64)
 
 
-def word_hashes(text: str) -> np.ndarray:
-    words = text.encode("utf-8", "replace").lower().split()
-    return np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-
-
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of the k words from every place on: a polynomial of the words' hashes, mixed."""
     n = len(hashes)
@@ -127,125 +120,152 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def slide(f, x: np.ndarray, n: int) -> np.ndarray:
-    """f (minimum or maximum) over every n values in a row."""
+def slide(x: np.ndarray, n: int) -> np.ndarray:
+    """The least of every n values in a row."""
     step = 1
     while step * 2 <= n:
-        x = f(x[:-step], x[step:])
+        x = np.minimum(x[:-step], x[step:])
         step *= 2
-    return f(x[: len(x) - (n - step)], x[n - step :]) if n > step else x
+    return np.minimum(x[: len(x) - (n - step)], x[n - step :]) if n > step else x
 
 
-def anchors(values: np.ndarray) -> np.ndarray:
-    """Places of the values that are least in some window; none in texts of under RUN_WORDS words."""
-    n = RUN_WORDS - ANCHOR_WORDS + 1
-    if len(values) < n:
-        return np.zeros(0, np.int64)
-    rim = np.zeros(n - 1, np.uint64)
-    return np.flatnonzero(values == slide(np.maximum, np.concatenate([rim, slide(np.minimum, values, n), rim]), n))
+def slide_first(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of every n values in a row and the first place of it."""
+    at = np.arange(len(x))
 
+    def both(x, at, step):
+        less = x[step:] < x[:-step]
+        return np.where(less, x[step:], x[:-step]), np.where(less, at[step:], at[:-step])
 
-SPAN = "w0 int, w1 int, start int, stop int"
-PARAGRAPHS = fields(f"h long, doc_id long, {SPAN}, bands longs")
-SETS = fields("h long, shingles binary")
-ANCHORS = fields("h long, doc_id long, at int")
-WINDOWS = fields(f"h long, doc_id long, {SPAN}")
-
-
-def _batch(schema: T.StructType, rows: list[tuple], *more: pa.Array) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    plain = schema.fields[: len(schema.fields) - len(more)]
-    cols = list(zip(*rows)) or [()] * len(plain)
-    arrays = [pa.array(c, kinds[{"bigint": "long"}.get(k := f.dataType.simpleString(), k)]) for c, f in zip(cols, plain)]
-    return pa.RecordBatch.from_arrays([*arrays, *more], names=schema.names)
+    step = 1
+    while step * 2 <= n:
+        x, at = both(x, at, step)
+        step *= 2
+    return both(x, at, n - step) if n > step else (x, at)
+
+
+class Text:
+    """One text's words as hashes, its paragraphs and its windows."""
+
+    def __init__(self, text: str) -> None:
+        counts, words = [], []
+        for line in text.encode("utf-8", "replace").lower().split(b"\n"):
+            found = line.split()
+            words += found
+            counts.append(len(found))
+        h = xxhash.xxh64_intdigest
+        self.hashes = np.fromiter((h(w, SEED) for w in words), np.uint64, len(words))
+        self.shingles = grams(self.hashes, SHINGLE)
+        ends = np.cumsum(counts)
+        self.lines = [(e - n, e) for e, n in zip(ends.tolist(), counts) if n >= MIN_WORDS]
+
+    def paragraph(self, w0: int, w1: int) -> np.ndarray:
+        """The paragraph's distinct shingles in order."""
+        return np.unique(self.shingles[w0 : w1 - SHINGLE + 1])
+
+    def window_runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of windows: band key, first window, number of windows, place of the least shingle."""
+        if len(self.shingles) < WIDTH:
+            return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
+        low, at = slide_first(permuted(self.shingles, 0), WIDTH)
+        keys = chained(np.zeros(len(low), np.uint64), low)
+        for k in range(1, WINDOW_ROWS):
+            keys = chained(keys, slide(permuted(self.shingles, k), WIDTH))
+        first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (at[1:] != at[:-1])]))
+        return keys[first], first, np.diff(np.append(first, len(keys))), at[first]
+
+
+PARSED = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        *(T.StructField(n, T.ArrayType(T.LongType())) for n in ("keys", "h", "bands")),
+        *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("at", "w0", "w1")),
+    ]
+)
+LEAD, MANY = 1, 2
+#: ``kind``: a run of windows (payload: their hashes) or a paragraph (payload: its shingles).
+RUN, SET = 0, 1
+PAYLOADS = fields("kind int, key long, doc_id long, at int, place int, flags int, payload longs")
+
+
+def lists(parts: list[np.ndarray], kind) -> pa.Array:
+    """An array of lists from one piece each."""
+    ends = np.cumsum([0, *(len(p) for p in parts)]).astype(np.int32)
+    whole = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(ends, pa.array(whole.view(np.int64) if whole.dtype == np.uint64 else whole.astype(np.int64), pa.int64()).cast(kind))
 
 
 def _texts(batch: pa.RecordBatch):
     return zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
 
 
-def _paragraph_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    rows, sets = [], []
-    for doc, text in _texts(batch):
-        for w0, w1, a, b, words in paragraphs(text):
-            rows.append((signed(xxhash.xxh64_intdigest(b" ".join(words), SEED)), doc, w0, w1, a, b))
-            sets.append(shingles(words))
-    keys = band_keys(signatures(sets)) if sets else np.zeros((0, BANDS), np.int64)
-    bands = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * BANDS, keys.ravel())
-    return _batch(PARAGRAPHS, rows, bands)
-
-
-def _sketch(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size in which every hash has its bit; other hashes have theirs by chance."""
-    bit = F.pmod("h", F.lit(SKETCH_BITS)) + 1
-    rows = hashes.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    whole = np.zeros(SKETCH_BITS // 8, np.uint8)
-    for r in rows:  # at most SKETCH_BITS / 32768 of them
-        whole[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return whole
-
-
-def _set_rows(shared):
-    """Shingle sets of the paragraphs whose bit is set: no candidate is left out, few others are sent."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits, rows = shared.value, {}
-        for _, text in _texts(batch):
-            for *_, words in paragraphs(text):
-                h = signed(xxhash.xxh64_intdigest(b" ".join(words), SEED))
-                at = h % SKETCH_BITS
-                if bits[at >> 3] >> (at & 7) & 1 and h not in rows:
-                    rows[h] = shingles(words).tobytes()
-        return _batch(SETS, list(rows.items()))
-
-    return run
-
-
-def _columns(schema: T.StructType, rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """A batch of ``schema`` from rows of column pieces."""
-    kinds = [np.int64 if isinstance(f.dataType, T.LongType) else np.int32 for f in schema]
-    cols = [np.concatenate([np.zeros(0, k), *c]).astype(k) for k, c in zip(kinds, list(zip(*rows)) or [()] * len(kinds))]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=schema.names)
-
-
-def _anchor_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    rows = []
+def _parse(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Per text: keys and first windows of its runs; hashes, bounds and bands of its paragraphs."""
+    docs, cols = [], {c: [] for c in PARSED.names[1:]}
     for doc, text in _texts(batch):
-        values = grams(word_hashes(text), ANCHOR_WORDS)
-        at = anchors(values)
-        rows.append((values[at].view(np.int64), np.full(len(at), doc, np.int64), at))
-    return _columns(ANCHORS, rows)
+        t = Text(text)
+        keys, first, _, _ = t.window_runs()
+        sets = [t.paragraph(*b) for b in t.lines]
+        whole = np.array([xxhash.xxh64_intdigest(t.hashes[a:b].tobytes(), SEED) for a, b in t.lines], np.uint64)
+        bounds = np.array(t.lines, np.int64).reshape(-1, 2)
+        bands = band_keys(signatures(sets)).ravel() if sets else np.zeros(0, np.int64)
+        docs.append(doc)
+        for c, v in zip(cols, (keys, whole, bands, first, bounds[:, 0], bounds[:, 1])):
+            cols[c].append(v)
+    kinds = {"keys": pa.int64(), "h": pa.int64(), "bands": pa.int64()}
+    return pa.RecordBatch.from_arrays(
+        [pa.array(docs, pa.int64()), *(lists(v, kinds.get(c, pa.int32())) for c, v in cols.items())], names=PARSED.names
+    )
 
 
-def _window_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """All windows that hold one of the anchors in column ``at``."""
-    rows = []
-    for (doc, text), at in zip(_texts(batch), batch.column("at").to_pylist()):
-        values = grams(word_hashes(text), RUN_WORDS)
-        near = np.zeros(len(values), bool)
-        places = np.array(at)
-        for back in range(RUN_WORDS - ANCHOR_WORDS + 1):
-            w0 = places - back
-            near[w0[(w0 >= 0) & (w0 < len(values))]] = True
-        w0 = np.flatnonzero(near)
-        spans = np.array([m.span() for m in WORD.finditer(text)], np.int64).reshape(-1, 2)
-        rows.append((values[w0].view(np.int64), np.full(len(w0), doc, np.int64), w0, w0 + RUN_WORDS, spans[w0, 0], spans[w0 + RUN_WORDS - 1, 1]))
-    return _columns(WINDOWS, rows)
-
-
-def _windows(texts: DataFrame) -> DataFrame:
-    """Every window around an anchor that more than one document holds; all repeated windows are among them."""
-    found = map_arrow(texts, _anchor_rows, ANCHORS)
-    common = found.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h")
-    # a stored right side lets Spark split the join where one anchor is very common
-    marks = found.join(cut(common), "h").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    return map_arrow(cut(texts.join(marks, "doc_id")), _window_rows, WINDOWS)
+def _payload_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Hashes of the windows of marked runs and shingles of marked paragraphs (marks: kind, at, flags)."""
+    rows, payloads = [], []
+    for (doc, text), marks in zip(_texts(batch), batch.column("marks").to_pylist()):
+        t = Text(text)
+        keys, first, n, place = t.window_runs()
+        windows = grams(t.hashes, MIN_WORDS).view(np.int64)
+        paragraphs = dict(t.lines)
+        for m in marks:
+            w = m["at"]
+            if m["kind"] == RUN:
+                k = int(np.searchsorted(first, w))
+                # rows of one id are one document: its other texts have other runs
+                if k == len(first) or first[k] != w or keys.view(np.int64)[k] != m["key"]:
+                    continue
+                payloads.append(windows[w : w + n[k]])
+                spot = int(place[k]) - w
+            elif w in paragraphs:
+                payloads.append(t.paragraph(w, paragraphs[w]).view(np.int64))
+                spot = paragraphs[w]
+            else:
+                continue
+            rows.append((m["kind"], m["key"], doc, w, spot, m["flags"]))
+    cols = list(zip(*rows)) or [()] * 6
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), lists(payloads, pa.int64())], names=PAYLOADS.names)
+
+
+def near(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with ``near``: false only for an id that is not among ``ids``, by a bitmap of fixed size."""
+    bit = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(SKETCH_BITS)) + 1
+    maps = ids.groupBy(F.bitmap_bucket_number(bit()).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit())).alias("bits"))
+    at = F.bitmap_bit_position(bit())
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    # at most SKETCH_BITS / 32768 rows of 4 KB
+    both = docs.join(F.broadcast(maps), F.col("doc_id").isNotNull() & (F.bitmap_bucket_number(bit()) == F.col("bucket")), "left")
+    return both.select(*docs.columns, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias("near"))
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` less most of those whose id is not among ``ids``."""
+    return near(docs, ids).where("near").drop("near")
 
 
 LINKS = fields("u long, v long")
 
 
-def similar(sets: list[np.ndarray], left: list[int], right: set[int] | None = None):
+def similar(sets: list[np.ndarray], left: list[int]):
     """Pairs (i, j) of sets with Jaccard similarity of SIMILARITY or more, by an inverted index."""
     sizes = np.array([len(s) for s in sets])
     member = np.repeat(np.arange(len(sets)), sizes)
@@ -266,108 +286,206 @@ def _verify(batches):
         if rows.num_rows < 2:
             continue
         h, blk = rows["h"].to_pylist(), rows["blk"].to_pylist()
-        sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"].to_pylist()]
+        flat, cuts = rows["shingles"].combine_chunks(), rows["shingles"].combine_chunks().offsets.to_numpy()
+        sets = np.split(flat.values.to_numpy()[cuts[0] : cuts[-1]], cuts[1:-1] - cuts[0])
         p = rows["p"][0].as_py()
         forest = Forest()
         for i, j in similar(sets, [i for i, b in enumerate(blk) if b == p]):
             forest.join(h[i], h[j])
-        yield _batch(LINKS, forest.links())
+        u, v = zip(*links) if (links := forest.links()) else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=LINKS.names)
+
+
+def _first_of(rows: DataFrame, key: str) -> DataFrame:
+    """Per key that more than one document holds, the first occurrence (doc_id, at) as ``first``."""
+    found = rows.groupBy(key).agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    # stored, so that Spark can split joins with it where one key is very common
+    return cut(found.where("first.doc_id < last").drop("last"))
+
+
+def _is_first():
+    return (F.col("doc_id") == F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))
+
+
+#: A unit found: words from ``at`` to ``stop``, or the windows at ``at`` + each bit of ``mask``.
+UNITS = ("doc_id", "kept", "at", "stop", "mask", "cls", "first_doc")
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Every place of a repeated unit: doc_id, w0, w1, start, stop, cls, first_doc, kept."""
+    """Every repeated unit: doc_id, kept, at, stop, mask, cls, first_doc (see ``UNITS``)."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise ValueError(f"doc_id must be of an integer type, not {docs.schema['doc_id'].dataType.simpleString()}")
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parsed = cut(map_arrow(texts, _parse, PARSED))
+
+    # windows: runs whose key more than one document holds
+    run = parsed.select("doc_id", F.explode(F.arrays_zip("keys", "at")).alias("r")).select("doc_id", F.col("r.keys").alias("key"), F.col("r.at").alias("at"))
+    common = run.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
+    held = cut(run.join(cut(common), "key"))
+    held = held.join(_first_of(held, "key"), "key")
+    marks = held.select(
+        "doc_id", F.lit(RUN).alias("kind"), "at", "key",
+        (F.when(_is_first(), LEAD).otherwise(0) + F.when(F.col("n") > 2, MANY).otherwise(0)).alias("flags"),
+    )
 
-    # paragraphs: classes of near-equal ones
-    found = cut(map_arrow(texts, _paragraph_rows, PARAGRAPHS))
-    banded = found.select("h", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("h").alias("lead"), F.max("h").alias("other")).where("lead < other")
-    near = banded.join(buckets, ["band", "key"]).where("h <> lead").select(F.col("h").alias("u"), F.col("lead").alias("v")).distinct()
+    # paragraphs: components of what collides in a band
+    lines = parsed.select("doc_id", F.posexplode(F.arrays_zip("h", "w0", "w1")).alias("k", "p"), "bands")
+    lines = lines.select("doc_id", F.col("p.h").alias("h"), F.col("p.w0").alias("at"), F.col("p.w1").alias("stop"), F.slice("bands", F.col("k") * BANDS + 1, BANDS).alias("bands"))
+    banded = lines.select("h", F.posexplode("bands").alias("band", "key"))
+    buckets = banded.groupBy("band", "key").agg(F.min("h").alias("lead"), F.max("h").alias("other")).where("lead < other").drop("other")
+    near = banded.join(cut(buckets), ["band", "key"]).where("h <> lead").select(F.col("h").alias("u"), F.col("lead").alias("v")).distinct()
     cand = components(near)
     cand = cut(cand.union(cand.select("component", "component").distinct()).toDF("h", "comp"))
-    shared = docs.sparkSession.sparkContext.broadcast(_sketch(cand))
-    sets = map_arrow(texts, _set_rows(shared), SETS).groupBy("h").agg(F.first("shingles").alias("shingles"))
+    # one holder of each candidate sends its shingles
+    holder = lines.select("h", "doc_id", "at").join(cand, "h").groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"))
+    asked = holder.select("first.doc_id", F.lit(SET).alias("kind"), "first.at", F.col("h").alias("key"), F.lit(LEAD).alias("flags"))
+
+    marks = cut(marks.unionByName(asked).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "at", "key", "flags")).alias("marks")))
+    found = cut(map_arrow(only(texts, marks).join(marks, "doc_id"), _payload_rows, PAYLOADS))
+
+    return _near_lines(lines, cand, found).unionByName(_equal_windows(found))
+
+
+def _near_lines(lines: DataFrame, cand: DataFrame, found: DataFrame) -> DataFrame:
+    sets = found.where(F.col("kind") == SET).groupBy("key").agg(F.first("payload").alias("shingles")).withColumnRenamed("key", "h")
     laid = block_pairs(sets.join(cand, "h").select("comp", "h", "shingles"), ["comp"], "h", BLOCK_ROWS)
     order = ["comp", "p", "q"]
     links = laid.repartition(*order).sortWithinPartitions(*order).mapInArrow(_verify, LINKS)
     classes = components(links).withColumnRenamed("node", "h")
-    units = found.drop("bands").join(classes, "h", "left").withColumn("cls", F.coalesce("component", "h")).drop("component", "h")
-
-    return _repeated(units, "cls").unionByName(_repeated(_windows(texts).withColumnRenamed("h", "cls"), "cls"))
-
-
-def _repeated(units: DataFrame, key: str) -> DataFrame:
-    """Units whose class more than one document holds, with the first place of it."""
-    seen = units.groupBy(key).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last_doc"))
-    seen = seen.where("first.doc_id < last_doc").select(key, F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
-    # a stored right side lets Spark split the join where one class is very common
-    return units.join(cut(seen), key).select(
-        "doc_id", "w0", "w1", "start", "stop", "cls", "first_doc",
-        ((F.col("doc_id") == F.col("first_doc")) & (F.col("start") == F.col("first_start"))).alias("kept"),
-    )
+    units = lines.drop("bands").join(classes, "h", "left").withColumn("cls", F.coalesce("component", "h")).drop("component", "h")
+    return units.join(_first_of(units, "cls"), "cls").select(
+        "doc_id", _is_first().alias("kept"), "at", "stop", F.lit(0).cast("long").alias("mask"), "cls", F.col("first.doc_id").alias("first_doc")
+    )
 
 
-MERGED = T.StructType([fields("doc_id long")[0], fields("kept boolean")[0], *fields(f"{SPAN}, cls long, first_doc long")])
+def _bits(places, shift=0):
+    """A mask with the bit of each place, moved by ``shift``."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(places, F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", one, (i + shift).cast("int"))))
+
+
+def _equal_windows(found: DataFrame) -> DataFrame:
+    lead = F.col("flags").bitwiseAND(LEAD) > 0
+    rows = found.where(F.col("kind") == RUN)
+    first = rows.where(lead).select("key", F.struct("doc_id", "at").alias("first"), F.col("place").alias("first_place"), F.col("payload").alias("model"))
+    both = rows.where(~lead).join(first, "key")
+    # window i of a run lies as its model's window i + by, seen from the least shingle
+    by = F.col("first_place") - F.col("place")
+    each = F.sequence(F.lit(0), F.size("payload") - 1)
+    same = F.filter(each, lambda i: F.coalesce(F.get("payload", i) == F.get("model", i + by), F.lit(False)))
+    both = cut(both.withColumn("same", same).select("doc_id", "at", "key", "flags", "first", "same", by.alias("by"), "payload"))
+    met = both.where(F.size("same") > 0)
+    unit = lambda kept, mask, first: [kept.alias("kept"), "at", F.lit(None).cast("int").alias("stop"), mask.alias("mask"), F.col("key").alias("cls"), first.alias("first_doc")]
+    others = met.where("doc_id <> first.doc_id")
+    members = others.select("doc_id", *unit(F.lit(False), _bits(F.col("same")), F.col("first.doc_id")))
+    models = others.groupBy("key", "first").agg(F.bit_or(_bits(F.col("same"), F.col("by"))).alias("mask"))
+    # again in the first document: what others hold too
+    again = met.where("doc_id = first.doc_id").join(models.select("key", F.col("mask").alias("held")), "key")
+    again = again.withColumn("same", F.filter("same", lambda i: F.call_function("shiftright", F.col("held"), (i + F.col("by")).cast("int")).bitwiseAND(F.lit(1)) == 1))
+    again = again.select("doc_id", *unit(F.lit(False), _bits(F.col("same")), F.col("first.doc_id"))).where("mask <> 0")
+    models = models.select("first.*", "key", "mask").select("doc_id", *unit(F.lit(True), F.col("mask"), F.col("doc_id")))
+    # windows unlike their model's, among each other
+    left = F.array_except(F.sequence(F.lit(0), F.size("payload") - 1), "same")
+    rest = both.where((F.col("flags").bitwiseAND(MANY) > 0) & (F.size("same") < F.size("payload")))
+    rest = rest.select("doc_id", "at", "payload", F.explode(left).alias("i")).select("doc_id", (F.col("at") + F.col("i")).alias("at"), F.get("payload", "i").alias("key"))
+    other = rest.join(_first_of(rest, "key"), "key").select("doc_id", *unit(_is_first(), F.lit(1).cast("long"), F.col("first.doc_id")))
+    return members.unionByName(again).unionByName(models).unionByName(other)
+
+
+SPANS = fields("doc_id long, kept boolean, w0 int, w1 int, cls long, first_doc long")
 
 
 def _merge_rows(batches):
-    rows, size = [], 0
+    out, size = [], 0
+    done = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=SPANS.names)
     for unit in runs(batches, ("doc_id", "kept")):
-        w0, w1, start, stop, cls, first = (unit[c].to_numpy() for c in MERGED.names[2:])
+        at, mask, cls, first = (unit[c].to_numpy() for c in ("at", "mask", "cls", "first_doc"))
+        stop = unit["stop"].fill_null(0).to_numpy()
+        bits = np.unpackbits(mask.astype(np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        row, bit = np.nonzero(bits)
+        line = np.flatnonzero(stop)
+        of = np.concatenate([row, line])
+        w0 = np.concatenate([at[row] + bit, at[line]]).astype(np.int32)
+        w1 = np.concatenate([at[row] + bit + MIN_WORDS, stop[line]]).astype(np.int32)
+        order = np.argsort(w0, kind="stable")
+        of, w0, w1 = of[order], w0[order], w1[order]
         cuts = np.flatnonzero(np.concatenate([[True], w0[1:] > np.maximum.accumulate(w1)[:-1]]))
-        ends = np.maximum.reduceat(w1, cuts)
-        long = ends - w0[cuts] >= MIN_WORDS
-        same = [np.full(long.sum(), unit[c][0].as_py()) for c in ("doc_id", "kept")]
-        least = (np.minimum.reduceat(c, cuts)[long] for c in (cls, first))
-        rows.append((*same, w0[cuts][long], ends[long], start[cuts][long], np.maximum.reduceat(stop, cuts)[long], *least))
-        size += len(rows[-1][0])
-        if size >= BLOCK_ROWS or len(rows) >= BLOCK_ROWS:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=MERGED.names)
-            rows, size = [], 0
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=MERGED.names)
-
-
-def _merged(units: DataFrame) -> DataFrame:
-    """Touching units of a document merged, by kept or not; those of MIN_WORDS words or more."""
+        doc, kept = (np.full(len(cuts), unit[c][0].as_py()) for c in ("doc_id", "kept"))
+        out.append((doc, kept, w0[cuts], np.maximum.reduceat(w1, cuts), np.minimum.reduceat(cls[of], cuts), np.minimum.reduceat(first[of], cuts)))
+        size += len(cuts)
+        if size >= BLOCK_ROWS:
+            yield done()
+            out, size = [], 0
+    if out:
+        yield done()
+
+
+def spans(units: DataFrame) -> DataFrame:
+    """Touching units of a document joined, by kept or not: doc_id and ``spans`` in word places."""
     # a document's places are bounded by its length
-    order = ["doc_id", "kept", "w0", "start"]
-    return units.select(*MERGED.names).repartition("doc_id").sortWithinPartitions(*order).mapInArrow(_merge_rows, MERGED)
+    order = ["doc_id", "kept"]
+    merged = units.select(*UNITS).repartition("doc_id").sortWithinPartitions(*order).mapInArrow(_merge_rows, SPANS)
+    return merged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("w0", "w1", "kept", "cls", "first_doc"))).alias("spans"))
+
+
+ROWS_OUT = fields("doc_id long, start long, stop long, n_words long, class_id long, first_doc_id long, kept boolean")
+
+
+def _place_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    rows = []
+    for (doc, text), found in zip(_texts(batch), batch.column("spans").to_pylist()):
+        words = [m.span() for m in WORD.finditer(text)]
+        # rows of one id are one document: a place may lie beyond a shorter text
+        rows += [
+            (doc, words[s["w0"]][0], words[s["w1"] - 1][1], s["w1"] - s["w0"], s["cls"], s["first_doc"], s["kept"])
+            for s in found if s["w1"] <= len(words)
+        ]
+    cols = list(zip(*rows)) or [()] * 7
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.bool_())], names=ROWS_OUT.names)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """One row per repeated passage: doc_id, start, stop, n_words, class_id, first_doc_id, kept."""
-    return _merged(occurrences(docs)).select(
-        "doc_id",
-        F.col("start").cast("long").alias("start"),
-        F.col("stop").cast("long").alias("stop"),
-        (F.col("w1") - F.col("w0")).cast("long").alias("n_words"),
-        F.col("cls").alias("class_id"),
-        F.col("first_doc").alias("first_doc_id"),
-        "kept",
-    )
+    """One row per repeated passage: doc_id, start, stop, n_words, class_id, first_doc_id, kept.
+
+    ``start`` and ``stop`` count code points. Where a passage joins units of several classes, the least stands.
+    """
+    found = cut(spans(occurrences(docs)))
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_arrow(only(texts, found).join(found, "doc_id"), _place_rows, ROWS_OUT)
+
+
+def without(text: str, found: list[tuple[int, int]]) -> str:
+    """``text`` less the words of each (first, past last); the blanks after a passage go with it."""
+    words = [m.span() for m in WORD.finditer(text)]
+    out, at = [], 0
+    for w0, w1 in found:
+        if w1 <= len(words):
+            out.append(text[at : words[w0][0]])
+            at = BLANKS.match(text, words[w1 - 1][1]).end()
+    return "".join(out) + text[at:]
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """``docs`` without all but the first occurrence of each repeated passage; all rows and columns kept."""
-    found = _merged(occurrences(docs).where("not kept")).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("__spans")
-    )
-    rest = F.aggregate(
-        "__spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            s["stop"].alias("at"),
-            F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
-    )
-    key = found.withColumnRenamed("doc_id", "__doc")
-    out = docs.join(key, docs["doc_id"] == key["__doc"], "left")
-    text = F.when(F.col("__spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(
-        F.trim(F.regexp_replace(rest, r"\n[^\S\n]*(?=\n)", ""))
-    )
-    out = out.withColumn("text", text)
+    """``docs`` without all but the first occurrence of each repeated passage; all rows and columns kept.
+
+    Only the passages and the blanks after them go; ``n_chars``, where there is one, follows the text.
+    """
+    found = cut(spans(occurrences(docs).where("not kept")))
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"))
+    # texts without a passage are not shuffled
+    rows = near(rows, found)
+    cuts = found.select("doc_id", F.transform("spans", lambda s: F.struct(s["w0"].alias("w0"), s["w1"].alias("w1"))).alias("spans"))
+    joined = rows.where("near").join(cuts, "doc_id", "left").select("text", "row", "spans")
+    schema = joined.select("text", "row").schema
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, marks = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
+        done = [t if m is None or t is None else without(t, [(s["w0"], s["w1"]) for s in m]) for t, m in zip(texts, marks)]
+        return pa.RecordBatch.from_arrays([pa.array(done, pa.string()), batch.column("row")], names=schema.names)
+
+    out = map_arrow(joined, run, schema).unionByName(rows.where("not near").select("text", "row"))
+    fresh = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        fresh["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(fresh[c].alias(c) if c in fresh else F.col("row")[c].alias(c) for c in docs.columns))

@@ -188,7 +188,8 @@ def test_repeated_passages(spark, copies):
     rows = passages.repeated(d).collect()
     hit = {r["doc_id"] for r in rows}
     assert hit == set(range(copies + 2))
-    assert {r["doc_id"] for r in rows if r["kept"]} == {0, copies}
+    whole = [r["doc_id"] for r in rows if r["kept"] and passage in texts[r["doc_id"]][r["start"] : r["stop"]] or r["doc_id"] == copies and r["kept"]]
+    assert whole == [0, copies]
     left = {r["doc_id"]: r["text"] for r in passages.remove(d).collect()}
     assert len(left) == len(texts) and left[0] == texts[0] and left[copies + 2] == texts[copies + 2]
     assert all(" ".join(changed[15:50]) not in left[i] for i in range(1, copies)) and left[copies + 3] is None
@@ -210,7 +211,7 @@ def test_repeated_passage_in_mid_sentence(spark):
     """51 words inside longer lines, the second time over two lines: no sentence of it is whole."""
     passage = words(51, 31).split()
     texts = [words(60, 32 + i) + " " + sep.join([" ".join(passage[:25]), " ".join(passage[25:])]) + " " + words(60, 42 + i) for i, sep in enumerate([" ", "\n", " "])]
-    d = docs(spark, [*texts, words(150, 60), " ".join([words(30, 61), *passage[:39], words(30, 62)])])
+    d = docs(spark, [*texts, words(150, 60), " ".join([words(30, 61), *passage[:49], words(30, 62)])])
     rows = {r["doc_id"]: r for r in passages.repeated(d).collect()}
     assert set(rows) == {0, 1, 2} and [rows[i]["kept"] for i in range(3)] == [True, False, False]
     assert all(r["n_words"] == 51 and texts[i][r["start"] : r["stop"]].split() == passage for i, r in rows.items())
@@ -218,6 +219,82 @@ def test_repeated_passage_in_mid_sentence(spark):
     assert left[0] == texts[0] and all(left[i].split() == texts[i].split()[:60] + texts[i].split()[111:] for i in (1, 2))
 
 
+def _passages_by_brute_force(texts):
+    """Words (kept or not) of repeated windows and near-equal lines, by comparing all with all."""
+    n = passages.MIN_WORDS
+    held, lines = {}, []
+    for d, text in sorted(texts.items()):
+        w = text.lower().split()
+        for i in range(len(w) - n + 1):
+            held.setdefault(tuple(w[i : i + n]), []).append((d, i, i + n))
+        at = 0
+        for line in text.lower().split("\n"):
+            k = line.split()
+            if len(k) >= n:
+                lines.append((d, at, at + len(k), frozenset(zip(*(k[j:] for j in range(5))))))
+            at += len(k)
+    sure = [places for places in held.values() if len({p[0] for p in places}) > 1]
+    up = list(range(len(lines)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(lines):
+        for j in range(i):
+            both = len(a[3] & lines[j][3])
+            if both >= 0.8 * (len(a[3]) + len(lines[j][3]) - both):
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    groups = {}
+    for i, line in enumerate(lines):
+        groups.setdefault(root(i), []).append(line[:3])
+    sure += [places for places in groups.values() if len({p[0] for p in places}) > 1]
+    cover = {True: set(), False: set()}
+    for places in sure:
+        for p in places:
+            cover[p == min(places)] |= {(p[0], k) for k in range(p[1], p[2])}
+    return cover
+
+
+def test_repeated_passages_by_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    loop = " ".join([words(20, 71)] * 12)  # repeats itself, and so holds each window several times
+    texts |= {900_001: loop, 900_002: words(10, 72) + " " + loop, 900_003: "x " * 300, 900_004: words(60, 73) + " x" * 120}
+    d = docs(spark, []).unionByName(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], DOCS))
+    got = {True: set(), False: set()}
+    for r in passages.repeated(d).collect():
+        before = len(texts[r["doc_id"]][: r["start"]].split())
+        assert r["n_words"] == len(texts[r["doc_id"]][r["start"] : r["stop"]].split()) >= passages.MIN_WORDS
+        got[r["kept"]] |= {(r["doc_id"], before + k) for k in range(r["n_words"])}
+    assert got == _passages_by_brute_force(texts)
+    left = {r["doc_id"]: r["text"] for r in passages.remove(d).collect()}
+    for i, t in texts.items():
+        assert left[i].split() == [w for k, w in enumerate(t.split()) if (i, k) not in got[False]]
+
+
+def test_removal_leaves_the_rest_as_it_was(spark):
+    """Blank lines stay, other columns of any name stay, rows without id or text stay, repeated rows and no rows."""
+    p = words(55, 81)
+    rows = [
+        (1, "head\n\n\n" + p + "\n\ntail \n\n\nend", 7, "a"),
+        (2, "  intro line\n\n\nkept\n" + p + " \n\nafter\n\n\n\nend ", None, "b"),
+        (2, "  intro line\n\n\nkept\n" + p + " \n\nafter\n\n\n\nend ", None, "b"),
+        (None, p, 1, None), (3, None, 2, "c"), (4, "", 3, "d"), (5, "short\n\n\n text ", 4, "e"), (5, p, 5, "f"),
+    ]
+    d = spark.createDataFrame(rows, "doc_id long, text string, spans int, near string")
+    got = sorted(map(tuple, passages.remove(d).collect()), key=str)
+    cut = "  intro line\n\n\nkept\nafter\n\n\n\nend "
+    want = [rows[0], (2, cut, None, "b"), (2, cut, None, "b"), *rows[3:7], (5, "", 5, "f")]
+    assert got == sorted(want, key=str)
+    none = d.limit(0)
+    assert passages.remove(none).count() == 0 and passages.repeated(none).count() == 0
+    with pytest.raises(ValueError):
+        passages.repeated(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_secrets_beyond_base_spans():
     """A literal that a base span covers in part only is masked whole."""
     hexed = "Zx9!" + "0123456789abcdef01234567" + "!kQ2p"
