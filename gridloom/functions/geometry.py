@@ -123,3 +123,17 @@ def aligned_left(alignment: Column, x: Column, width: Column) -> Column:
 def band_depth(centre_a: Column, centre_b: Column) -> Column:
     """Distance of two centres, rounded half to even."""
     return F.rint(F.abs(centre_a - centre_b))
+
+
+def unscaled(b: Box, factor: Column) -> Box:
+    return tuple(x / factor for x in b)
+
+
+def scaled_width(width: Column, height: Column, to: float = 1024.0) -> Column:
+    """Width of a page brought to a height, cut to whole pixels."""
+    return (width * page_scale(height, to)).cast("long")
+
+
+def resized(centre: Box, x: Column, y: Column) -> Box:
+    """A centre box of an image whose width and height are scaled by x and y."""
+    return centre[0] * x, centre[1] * y, centre[2] * x, centre[3] * y

@@ -29,18 +29,41 @@ def with_fallback_boxes(cells: DataFrame, predicted: DataFrame) -> DataFrame:
     return cells.join(p, [T, "cell_id"], "left").select(T, "cell_id", *(F.coalesce(k, f"p{k}", F.lit(0.0)).alias(k) for k in "ltrb"))
 
 
-def responses(cells: DataFrame, matches: DataFrame, tokens: DataFrame) -> DataFrame:
-    """One row per (start_col, start_row): the first cell's attributes and all its tokens in cell order."""
-    told = matches.join(tokens.select(T, "pdf_cell_id", "text"), [T, "pdf_cell_id"])
-    per_cell = dummy_responses(cells).join(told.select(T, "cell_id", "pdf_cell_id", "text"), [T, "cell_id"])
-    return per_cell.groupBy(T, "start_col", "start_row").agg(
+def token_responses(cells: DataFrame, matches: DataFrame) -> DataFrame:
+    """One row per matched token: spans and places of its last cell, flags of any, and the sorted rows, columns and labels of all."""
+    j = matches.select(T, "pdf_cell_id", "cell_id").join(dummy_responses(cells).join(cells.select(T, "cell_id", "row_id", "column_id", "label"), [T, "cell_id"]), [T, "cell_id"])
+    last = ["row_span", "col_span", "start_row", "end_row", "start_col", "end_col"]
+    labels = F.array_sort(F.collect_set("label"))
+    return j.groupBy(T, "pdf_cell_id").agg(
+        *(F.max_by(c, "cell_id").alias(c) for c in last),
+        *(F.bool_or(F.coalesce(c, F.lit(False))).alias(c) for c in ("column_header", "row_header", "row_section")),
+        F.array_sort(F.collect_set("row_id")).alias("row_ids"), F.array_sort(F.collect_set("column_id")).alias("column_ids"),
+        F.coalesce(F.get(labels, F.lit(0)), F.lit("None")).alias("label"),
+    )
+
+
+def keyed(found: DataFrame) -> DataFrame:
+    """Responses with their key, column and row joined by ``_``."""
+    return found.withColumn("cell_key", F.concat_ws("_", F.col("start_col").cast("string"), F.col("start_row").cast("string")))
+
+
+def responses(cells: DataFrame, matches: DataFrame, tokens: DataFrame, boxes: bool = False) -> DataFrame:
+    """One row per (start_col, start_row): the first cell's attributes and all its tokens in cell order, with ``boxes`` their boxes too."""
+    told = matches.join(tokens.select(T, "pdf_cell_id", "text", *(F.col(k).alias(f"t_{k}") for k in "ltrb")), [T, "pdf_cell_id"])
+    per_cell = dummy_responses(cells).join(told.select(T, "cell_id", "pdf_cell_id", "text", *(f"t_{k}" for k in "ltrb")), [T, "cell_id"])
+    listed = F.array_sort(F.collect_list(F.struct("cell_id", "pdf_cell_id", "text", *((f"t_{k}" for k in "ltrb") if boxes else ()))))
+    found = per_cell.groupBy(T, "start_col", "start_row").agg(
         F.min("cell_id").alias("cell_id"),
         F.min_by("col_span", "cell_id").alias("col_span"),
         F.min_by("row_span", "cell_id").alias("row_span"),
         F.min_by("column_header", "cell_id").alias("column_header"),
         F.min_by("row_header", "cell_id").alias("row_header"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell_id", "pdf_cell_id", "text"))), lambda x: x["text"]), " ").alias("text"),
+        listed.alias("listed"),
     )
+    text = F.array_join(F.transform("listed", lambda x: x["text"]), " ").alias("text")
+    each = lambda x: F.struct(*(x[f"t_{k}"].alias(k) for k in "blrt"), x["text"].alias("token"))
+    more = [F.transform("listed", each).alias("text_cell_bboxes")] if boxes else []
+    return found.select(*(c for c in found.columns if c != "listed"), text, *more)
 
 
 def reindexed(found: DataFrame) -> DataFrame:
@@ -63,3 +86,8 @@ def document(found: DataFrame) -> DataFrame:
     """One JSON document per table, responses in cell order; absent values are left out."""
     cols = [c for c in found.columns if c != T]
     return found.groupBy(T).agg(F.to_json(F.array_sort(F.collect_list(F.struct("cell_id", *(c for c in cols if c != "cell_id"))))).alias("document"))
+
+
+def in_order(rows: DataFrame, key: str, by: str = T, name: str = "cells") -> DataFrame:
+    """Values of ``key`` in order, joined by commas, for each ``by``; texts go by their bytes."""
+    return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")), ",").alias(name))

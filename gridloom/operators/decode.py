@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from .match import T
 
 #: Ids of the structure tags.
@@ -31,6 +32,11 @@ def until_end(ids: Column, most: int = 1024) -> Column:
     return F.slice(ids, F.lit(1), F.least(F.when(end > 0, end).otherwise(F.size(ids)), F.lit(most)).cast("int"))
 
 
+def padding(ids: Column) -> Column:
+    """Number of zeros at the end."""
+    return F.size(ids) - F.size(without_padding(ids))
+
+
 def without_padding(ids: Column) -> Column:
     """Ids without the zeros at the end."""
     last = F.array_position(F.reverse(F.transform(ids, lambda i: (i != 0).cast("int"))), F.lit(1))
@@ -73,3 +79,35 @@ def synced(boxes: Column, html: Column) -> Column:
     """Boxes as they are where their number is that of the cells, else ``without_spanned``."""
     cells = F.size(F.filter(html, lambda t: t.isin("<td>", ">")))
     return F.when(F.size(boxes) == cells, boxes).otherwise(without_spanned(boxes, html))
+
+
+def tag_names(ids: DataFrame, names: DataFrame) -> DataFrame:
+    """Tags of id rows by a table (tag_id, tag) of names, which is small; an unknown id is an error."""
+    told = ids.join(F.broadcast(names), "tag_id", "left")
+    return told.withColumn("tag", F.coalesce("tag", F.raise_error(F.concat(F.lit("unknown tag id "), F.col("tag_id").cast("string")))))
+
+
+def merged(boxes: DataFrame, pairs: DataFrame, canonical: bool = True) -> DataFrame:
+    """Boxes (table_id, box_ord, cx, cy, w, h) with those of ``merge_pairs`` made one; a pair's second box goes.
+
+    A first box that none follows merges with the table's last box, which stays, in the canonical dialect and with none in
+    the other. Where a second box opens a pair of its own, the canonical dialect merges that too; the other leaves the
+    second box out with its pair, so that of openers in a row every other one merges.
+    """
+    last = boxes.groupBy(T).agg(F.max("box_ord").alias("last_ord"))
+    p = pairs.join(last, T)
+    if canonical:
+        p = p.withColumn("closing", F.col("next_ord") >= 0).withColumn("next_ord", F.when(F.col("closing"), F.col("next_ord")).otherwise(F.col("last_ord")))
+    else:
+        n = F.row_number().over(Window.partitionBy(T).orderBy("box_ord"))
+        row = F.row_number().over(Window.partitionBy(T, "run").orderBy("box_ord"))
+        p = p.where("next_ord >= 0").withColumn("run", F.col("box_ord") - n).withColumn("row", row).where("row % 2 = 1").withColumn("closing", F.lit(True))
+    gone = p.where("closing").select(T, F.col("next_ord").alias("box_ord"), F.lit(True).alias("closes"))
+    second = boxes.select(T, F.col("box_ord").alias("next_ord"), *(F.col(k).alias(f"n_{k}") for k in ("cx", "cy", "w", "h")))
+    p = p.select(T, "box_ord", "next_ord").join(second, [T, "next_ord"])
+    both = boxes.join(p, [T, "box_ord"], "left").join(gone, [T, "box_ord"], "left")
+    opens = F.col("next_ord").isNotNull()
+    pick = lambda prefix: tuple(F.col(prefix + k) for k in ("cx", "cy", "w", "h"))
+    whole = G.merge_span(pick(""), pick("n_"))
+    stays = F.col("closes").isNull() | (opens & F.lit(canonical))
+    return both.where(stays).select(T, "box_ord", *(F.when(opens, v).otherwise(F.col(k)).alias(k) for k, v in zip(("cx", "cy", "w", "h"), whole)))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .lineage import cut
 
 
 def ranked(found: DataFrame) -> DataFrame:
@@ -19,9 +20,9 @@ def ranked(found: DataFrame) -> DataFrame:
     return found.withColumn("id", (F.row_number().over(order) - 1).cast("long"))
 
 
-def paired(found: DataFrame, variant: str, base: str = "baseline") -> DataFrame:
-    """The i-th detection of the base beside the i-th of a variant, with their IoU."""
-    place = Window.partitionBy("image").orderBy("ord")
+def paired(found: DataFrame, variant: str, base: str = "baseline", by: str = "ord") -> DataFrame:
+    """The i-th detection of the base beside the i-th of a variant in the order of ``by``, with their IoU and greatest corner difference."""
+    place = Window.partitionBy("image").orderBy(by)
     numbered = lambda v: found.where(F.col("variant") == v).withColumn("k", F.row_number().over(place))
     a, b = numbered(base).alias("a"), numbered(variant).alias("b")
     return a.join(b, (F.col("a.image") == F.col("b.image")) & (F.col("a.k") == F.col("b.k"))).select(
@@ -30,6 +31,7 @@ def paired(found: DataFrame, variant: str, base: str = "baseline") -> DataFrame:
         G.iou(G.box("a."), G.box("b.")).alias("iou"),
         (F.col("a.label") == F.col("b.label")).alias("same"),
         F.abs(F.col("a.score") - F.col("b.score")).alias("d_score"),
+        F.greatest(*(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) for c in "ltrb")).alias("d_box"),
     )
 
 
@@ -132,10 +134,16 @@ def histogram(values: DataFrame, column: str, low: float, high: float, bins: int
     return values.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def parity(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Whether a variant may stand for the base: nearly all IoUs at 0.5, labels equal, scores within one."""
-    q = quality(pairs)
-    return q.select(((F.col("iou_50") > 0.98) & (F.col("agreement") == 1) & (F.col("d_score") <= 1)).alias("passes"), "iou_50", "agreement", "d_score")
+def parity(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Whether a variant may stand for the base, in all or per ``by``: corners apart by under 2 in the median, nearly all
+    IoUs at 0.5, all labels equal, and no score off by more than 0.01. Pairs go by falling score."""
+    q = pairs.groupBy(*by).agg(
+        F.coalesce(F.median("d_box"), F.lit(0.0)).alias("d_median"),
+        F.coalesce(F.avg((F.col("iou") >= 0.5).cast("double")), F.lit(1.0)).alias("iou_50"),
+        F.coalesce(F.bool_and("same"), F.lit(True)).alias("labels"),
+        F.coalesce(F.bool_and(F.col("d_score") <= 0.01), F.lit(True)).alias("scores"),
+    )
+    return q.withColumn("passes", (F.col("d_median") < 2) & (F.col("iou_50") > 0.98) & F.col("labels") & F.col("scores"))
 
 
 def acceptance(q: DataFrame, change: DataFrame, speed_ratio: float, size_mb: float) -> DataFrame:
@@ -143,3 +151,104 @@ def acceptance(q: DataFrame, change: DataFrame, speed_ratio: float, size_mb: flo
     j = q.join(F.broadcast(change))
     cheap = speed_ratio <= 0.9 or size_mb <= 50
     return j.select(((F.col("iou_50") >= 0.995) & (F.col("mean_iou") >= 0.99) & (F.abs("d_percent") <= 1) & F.lit(cheap)).alias("passes"))
+
+
+def label_universe(*found: DataFrame) -> DataFrame:
+    """All labels of some sets of detections."""
+    out = found[0].select("label")
+    for more in found[1:]:
+        out = out.union(more.select("label"))
+    return out.distinct()
+
+
+def first_k(rows: DataFrame, by: str, key: str, k: int) -> DataFrame:
+    """The first ``k`` rows by ``key`` of each ``by``."""
+    order = Window.partitionBy(by).orderBy(key)
+    return rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k).drop("rn")
+
+
+def placed(rows: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with their ``place`` in the order of ``key`` over all rows: by ranges of keys, whose sizes are summed up."""
+    ranged = cut(rows.repartitionByRange(*key).withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    # one row per partition
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = F.row_number().over(Window.partitionBy("part").orderBy(*key)) - 1
+    return ranged.withColumn("at", at).join(F.broadcast(before.select("part", "before")), "part").select(*rows.columns, (F.col("before") + F.col("at")).alias("place"))
+
+
+def guesses(scores: DataFrame) -> DataFrame:
+    """(sample, rank, right) of scores (sample, label, k, x): classes by falling score, the lower class first on ties."""
+    order = Window.partitionBy("sample").orderBy(F.desc("x"), "k")
+    return scores.select("sample", (F.row_number().over(order) - 1).alias("rank"), F.coalesce(F.col("k") == F.col("label"), F.lit(False)).alias("right"))
+
+
+def run_totals(times: DataFrame) -> DataFrame:
+    """Per document, stage and run the sum of its calls."""
+    return times.groupBy("document", "stage", "run").agg(F.sum("ms").alias("ms"))
+
+
+def document_totals(times: DataFrame) -> DataFrame:
+    """Per run the total over documents and the average per document."""
+    each = times.groupBy("run", "document").agg(F.sum("ms").alias("ms"))
+    n = F.greatest(F.lit(1), F.count(F.lit(1)))
+    return each.groupBy("run").agg(F.sum("ms").alias("total_ms"), (F.sum("ms") / n).alias("average_ms"))
+
+
+def speed_up(times: DataFrame, key: str, base: str, other: str) -> DataFrame:
+    """Ratio of two columns of a comparison; null where the second is zero."""
+    return times.select(key, F.try_divide(F.col(base), F.col(other)).alias("speed_up"))
+
+
+def running_average(values: DataFrame, by: str, value: str, weight: str) -> DataFrame:
+    """Last value, sum, count and average of a weighted meter."""
+    total, n = F.sum(F.col(value) * F.col(weight)), F.sum(weight)
+    return values.groupBy(by).agg(total.alias("sum"), n.alias("n"), (total / n).alias("average"))
+
+
+def top_k_accuracy(ranked_guesses: DataFrame, k: int) -> DataFrame:
+    """Percent of samples whose label is among the first ``k`` guesses (sample, rank from 0, right)."""
+    hit = ranked_guesses.where(F.col("rank") < k).groupBy("sample").agg(F.max(F.col("right").cast("int")).alias("hit"))
+    return hit.agg((F.avg("hit") * 100).alias("accuracy"))
+
+
+def array_difference(arrays: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """Greatest absolute difference of two arrays of one length, and as a share of the first's greatest magnitude."""
+    most = lambda x: F.array_max(F.transform(x, F.abs))
+    gap = most(F.zip_with(a, b, lambda x, y: x - y))
+    return arrays.select(key, gap.alias("d_max"), (gap / F.greatest(most(F.col(a)), F.lit(1e-9))).alias("d_relative"))
+
+
+def profile(samples: DataFrame, window: int = 20) -> DataFrame:
+    """Per session and section, over its last ``window`` cycles: mean and median of a cycle's time and calls, and the most memory.
+
+    Samples: session, cycle, section, dt, kb.
+    """
+    cycles = samples.groupBy("session", "section", "cycle").agg(F.sum("dt").alias("dt"), F.count(F.lit(1)).alias("calls"), F.max("kb").alias("kb"))
+    order = Window.partitionBy("session", "section").orderBy(F.desc("cycle"))
+    last = cycles.withColumn("k", F.row_number().over(order)).where(F.col("k") <= window)
+    return last.groupBy("session", "section").agg(
+        F.avg("dt").alias("mean_dt"), F.median("dt").alias("median_dt"), F.avg("calls").alias("mean_calls"), F.median("calls").alias("median_calls"),
+        F.max("kb").alias("most_kb"), F.count(F.lit(1)).alias("cycles"),
+    )
+
+
+def mean_elapsed(times: DataFrame, warm_up: int = 1) -> DataFrame:
+    """Mean time per document over the runs after the warm-up."""
+    return times.where(F.col("run") >= warm_up).groupBy("document").agg(F.avg("ms").alias("mean_ms"))
+
+
+def comparison(found: DataFrame, times: DataFrame, sizes: DataFrame, base: str = "baseline") -> DataFrame:
+    """One row per variant: mean IoU with the base (1 for itself), mean and 95th percentile of its times, size in MiB; zeros where unknown."""
+    variants = found.select("variant").distinct()
+    place = Window.partitionBy("variant", "image").orderBy("ord")
+    k = found.withColumn("k", F.row_number().over(place))
+    a, b = k.where(F.col("variant") == base).alias("a"), k.where(F.col("variant") != base).alias("b")
+    iou = a.join(b, (F.col("a.image") == F.col("b.image")) & (F.col("a.k") == F.col("b.k"))).groupBy(F.col("b.variant").alias("variant"))
+    iou = iou.agg(F.avg(G.iou(G.box("a."), G.box("b."))).alias("mean_iou"))
+    zero = F.lit(0.0)
+    # one row per variant
+    return variants.join(iou, "variant", "left").join(latency(times, ["variant"]), "variant", "left").join(sizes, "variant", "left").select(
+        "variant", F.coalesce("mean_iou", F.lit(1.0)).alias("mean_iou"), F.coalesce("mean_ms", zero).alias("mean_ms"),
+        F.coalesce("p95_ms", zero).alias("p95_ms"), F.coalesce(F.col("bytes") / 1048576, zero).alias("size_mb"),
+    )

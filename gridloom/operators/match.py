@@ -19,6 +19,17 @@ def drop_empty_tokens(tokens: DataFrame, blank_too: bool = False) -> DataFrame:
     return tokens.where(F.trim("text") != "") if blank_too else tokens.where("text <> ''")
 
 
+def normalised_tokens(raw: DataFrame, strict: bool = True) -> DataFrame:
+    """Tokens of raw rows (table_id, pos, id, text, corners, sides): the box from the list of corners, else from the struct of
+    sides; a blank id is the token's place, a null text is empty. Ids are whole numbers: others are an error, or, unless
+    ``strict``, their tokens go."""
+    name = F.coalesce(F.nullif(F.trim("id"), F.lit("")), F.col("pos").cast("string"))
+    number = name.cast("long") if strict else name.try_cast("long")
+    box = [F.coalesce(F.get("corners", F.lit(i)), F.col(f"sides.{k}")).alias(k) for i, k in enumerate("ltrb")]
+    done = raw.select(T, number.alias("pdf_cell_id"), *box, F.coalesce("text", F.lit("")).alias("text"))
+    return done.where("pdf_cell_id is not null")
+
+
 def _pairs(cells: DataFrame, tokens: DataFrame) -> DataFrame:
     """Overlapping pairs: an equi-join on the table with the overlap as its condition."""
     c, p = cells.alias("c"), tokens.alias("p")
@@ -66,3 +77,8 @@ def with_predictions(cells: DataFrame, boxes: DataFrame) -> DataFrame:
     b = boxes.select(T, F.col("pos").alias("cell_id"), *(F.col(k).alias(f"p_{k}") for k in "ltrb"), F.col("cls").alias("p_cls"))
     joined = cells.select(T, "cell_id").join(b, [T, "cell_id"], "left")
     return joined.select(T, "cell_id", *(F.coalesce(f"p_{k}", F.lit(0.0)).alias(k) for k in "ltrb"), F.coalesce("p_cls", F.lit(2)).cast("long").alias("cell_class"))
+
+
+def no_matches(tokens: DataFrame) -> DataFrame:
+    """The matches of tables without tokens: none."""
+    return tokens.select(T, "pdf_cell_id", F.lit(0).cast("long").alias("cell_id"), F.lit(0.0).alias("iopdf")).limit(0)

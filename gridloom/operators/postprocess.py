@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from .lineage import cut
-from .match import T, best_match, drop_empty_tokens, intersection_over_token, orphans
+from .match import T, best_match, drop_empty_tokens, intersection_over_token, no_matches, orphans
 
 #: Beyond so many tokens a table's cells keep their boxes.
 MANY = 300
@@ -45,9 +45,9 @@ def column_medians(good: DataFrame, alignment: DataFrame) -> DataFrame:
     """Median place and size per column over good cells without spans, a cell counting once for each of its matches."""
     ok = good.where("is_good and colspan_val is null and rowspan_val is null").join(alignment, [T, "column_id"])
     x = F.when(F.col("alignment") == "left", F.col("l")).when(F.col("alignment") == "middle", (F.col("l") + F.col("r")) / 2).otherwise(F.col("r"))
-    each = ok.withColumn("x", x).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("hits").cast("int"))))
-    return each.groupBy(T, "column_id").agg(
-        F.median("x").alias("x"), F.median("t").alias("y"), F.median(F.col("r") - F.col("l")).alias("w"), F.median(F.col("b") - F.col("t")).alias("h")
+    middle = lambda v: F.percentile(v, F.lit(0.5), F.col("hits"))
+    return ok.withColumn("x", x).groupBy(T, "column_id").agg(
+        middle(F.col("x")).alias("x"), middle(F.col("t")).alias("y"), middle(F.col("r") - F.col("l")).alias("w"), middle(F.col("b") - F.col("t")).alias("h")
     )
 
 
@@ -100,9 +100,26 @@ def duplicate_columns(scores: DataFrame, share: float = 0.6) -> DataFrame:
 
 
 def without_columns(cells: DataFrame, gone: DataFrame) -> DataFrame:
+    """Cells less those of columns that go; the others keep their column's number."""
     return cells.join(gone, [T, "column_id"], "left_anti")
 
 
+def delete_columns(cells: DataFrame, gone: DataFrame) -> DataFrame:
+    """``without_columns`` with the columns to the right of deleted ones moved up."""
+    at = gone.groupBy(T).agg(F.collect_set("column_id").alias("gone"))
+    j = cells.join(at, T, "left").where(~F.coalesce(F.array_contains("gone", F.col("column_id")), F.lit(False)))
+    left = F.coalesce(F.size(F.filter("gone", lambda g: g < F.col("column_id"))), F.lit(0))
+    return j.select(*((F.col(c) - left).cast("long").alias(c) if c == "column_id" else F.col(c) for c in cells.columns))
+
+
+def overlapping(cells: DataFrame) -> DataFrame:
+    """Pairs of overlapping cells of a table: table_id, cell_id, other_id, the first of lesser id."""
+    a, b = cells.alias("a"), cells.alias("b")
+    return a.join(b, (F.col("a.table_id") == F.col("b.table_id")) & (F.col("a.cell_id") < F.col("b.cell_id")) & G.overlaps(G.box("a."), G.box("b."))).select(
+        F.col("a.table_id").alias(T), F.col("a.cell_id").alias("cell_id"), F.col("b.cell_id").alias("other_id")
+    )
+
+
 def token_boxes(cells: DataFrame, best: DataFrame, tokens: DataFrame) -> DataFrame:
     """Cells shrunk to the hull of their best-matched tokens; cells without one go."""
     hull = best.join(tokens, [T, "pdf_cell_id"]).groupBy(T, "cell_id").agg(
@@ -244,3 +261,14 @@ def run(cells: DataFrame, tokens: DataFrame, dialect: str = "canonical") -> tupl
     }
     extra = numbered.select(*(fixed[k].alias(k) if k in fixed else F.col(k) for k in cells.columns))
     return boxed.unionByName(extra), best.unionByName(numbered.select(T, "pdf_cell_id", "cell_id", F.lit(1.0).alias("iopdf")))
+
+
+def page(cells: DataFrame, tokens: DataFrame, dialect: str = "canonical", do_cell_matching: bool = True, correct_overlapping_cells: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The entry point: cleaned cells and matches of tables with tokens; the cells of others, or of all without matching, as they are."""
+    if not do_cell_matching:
+        return cells, no_matches(tokens)
+    told = tokens.select(T).distinct()
+    done, links = run(cells.join(told, T, "left_semi"), tokens, dialect)
+    if correct_overlapping_cells and dialect == "canonical":
+        done = correct_overlaps(done)
+    return done.unionByName(cells.join(told, T, "left_anti")), links

@@ -51,6 +51,25 @@ _NEAR = """SELECT table_id, pdf_cell_id, {k}, depth FROM (SELECT o.table_id, o.p
   row_number() OVER (PARTITION BY o.table_id, o.pdf_cell_id ORDER BY round_even(abs((x.lo+x.hi)/2-(o.{lo}+o.{hi})/2),0), x.{k}) AS rn
   FROM lost o JOIN {band} x ON o.table_id=x.table_id AND o.{lo}<=x.hi AND o.{hi}>=x.lo) WHERE rn=1"""
 
+CELL5, CELL6 = "('fcel','ecel','ched','rhed','srow')", "('fcel','ecel','ched','rhed','srow','xcel')"
+
+
+def _registry(n: str, tags: str) -> dict[str, str]:
+    """Two-dimensional spans in row order, each kept if it meets none kept before, and the spans of cells with ``tags``."""
+    return {
+        f"cand{n}": f"SELECT table_id, row_id, column_id, rt, dn, row_number() OVER (PARTITION BY table_id ORDER BY row_id, column_id) AS k FROM reach WHERE nt='xcel' AND tag IN {tags}",
+        f"reg{n}": f"""SELECT DISTINCT table_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(y BIGINT, x BIGINT, d BIGINT, r BIGINT)[]) AS acc FROM cand{n}
+          UNION ALL SELECT c.table_id, c.k, CASE WHEN len(list_filter(g.acc, lambda a: a.y<c.row_id+c.dn AND c.row_id<a.y+a.d AND a.x<c.column_id+c.rt AND c.column_id<a.x+a.r))>0 THEN g.acc
+            ELSE list_append(g.acc, {{'y': c.row_id, 'x': c.column_id, 'd': c.dn, 'r': c.rt}}) END FROM reg{n} g JOIN cand{n} c ON c.table_id=g.table_id AND c.k=g.k+1""",
+        f"stand{n}": f"SELECT table_id, a.y AS row_id, a.x AS column_id, true AS stands FROM (SELECT table_id, unnest(arg_max(acc, k)) AS a FROM reg{n} GROUP BY table_id)",
+        f"span{n}": f"""SELECT r.table_id, r.row_id, r.column_id, r.tag, CASE WHEN nt='lcel' THEN rt ELSE 1 END AS wide, CASE WHEN bt='ucel' THEN dn ELSE 1 END AS tall,
+          CASE WHEN nt='xcel' THEN rt ELSE 1 END AS xwide, CASE WHEN nt='xcel' THEN dn ELSE 1 END AS xtall, coalesce(nt='xcel',false) AND s.stands IS NULL AS cancelled, coalesce(s.stands,false) AS stands,
+          greatest(CASE WHEN nt='lcel' THEN rt ELSE 1 END, CASE WHEN s.stands AND nt='xcel' THEN rt ELSE 1 END) AS colspan,
+          greatest(CASE WHEN bt='ucel' THEN dn ELSE 1 END, CASE WHEN s.stands AND nt='xcel' THEN dn ELSE 1 END) AS rowspan
+          FROM reach r LEFT JOIN stand{n} s USING (table_id, row_id, column_id) WHERE tag IN {tags}""",
+    }
+
+
 #: Steps of the SQL equivalents, in order; a query names the last that it needs.
 STEPS = {
     "tok": "SELECT * FROM fx_pdf_cell WHERE text<>''",
@@ -100,13 +119,18 @@ STEPS = {
       SELECT table_id, pos, tag, CAST(coalesce(sum(CASE WHEN tag='nl' THEN 1 ELSE 0 END) OVER (PARTITION BY table_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS row_id,
         CASE WHEN tag IN ('fcel','ecel','ched','rhed','srow','xcel') THEN CAST(sum(CASE WHEN tag IN ('fcel','ecel','ched','rhed','srow','xcel') THEN 1 ELSE 0 END)
           OVER (PARTITION BY table_id ORDER BY pos ROWS UNBOUNDED PRECEDING)-1 AS BIGINT) END AS cell_id FROM fx_otsl) WHERE tag<>'nl'""",
-    "span": """SELECT table_id, row_id, column_id, tag, CAST(CASE WHEN lead(tag) OVER h IN ('lcel','xcel') THEN
-        coalesce(min(CASE WHEN tag NOT IN ('lcel','xcel') THEN column_id END) OVER (h ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), max(column_id) OVER (PARTITION BY table_id,row_id)+1)-column_id ELSE 1 END AS BIGINT) AS colspan,
-        CAST(CASE WHEN lead(tag) OVER v IN ('ucel','xcel') THEN
-        coalesce(min(CASE WHEN tag NOT IN ('ucel','xcel') THEN row_id END) OVER (v ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), max(row_id) OVER (PARTITION BY table_id,column_id)+1)-row_id ELSE 1 END AS BIGINT) AS rowspan
-      FROM g WINDOW h AS (PARTITION BY table_id,row_id ORDER BY column_id), v AS (PARTITION BY table_id,column_id ORDER BY row_id)""",
+    "opening": "SELECT table_id, arg_min(tag, pos) AS first_tag FROM fx_otsl GROUP BY table_id",
+    "gd": "SELECT table_id, tag, column_id, CAST(dense_rank() OVER (PARTITION BY table_id ORDER BY row_id)-1 AS BIGINT) AS row_id FROM g",
+    "gd_len": "SELECT table_id, row_id, count(*) AS n FROM gd GROUP BY ALL",
+    "squared": """SELECT table_id, row_id, column_id, tag FROM gd UNION ALL SELECT table_id, row_id, unnest(range(n, most)) AS column_id, 'lcel' FROM (
+      SELECT *, max(n) OVER (PARTITION BY table_id) AS most FROM gd_len) WHERE n<most""",
+    "reach": """SELECT *, lead(tag) OVER h AS nt, lead(tag) OVER v AS bt,
+        CAST(coalesce(min(CASE WHEN tag NOT IN ('lcel','xcel') THEN column_id END) OVER (h ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), max(column_id) OVER (PARTITION BY table_id,row_id)+1)-column_id AS BIGINT) AS rt,
+        CAST(coalesce(min(CASE WHEN tag NOT IN ('ucel','xcel') THEN row_id END) OVER (v ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), max(row_id) OVER (PARTITION BY table_id,column_id)+1)-row_id AS BIGINT) AS dn
+      FROM squared WINDOW h AS (PARTITION BY table_id,row_id ORDER BY column_id), v AS (PARTITION BY table_id,column_id ORDER BY row_id)""",
+    **{k: v for n, tags in (("5", CELL5), ("6", CELL6)) for k, v in _registry(n, tags).items()},
     "head": """SELECT table_id, row_id, has AND NOT was AS opens, was AND NOT has AS closes FROM (SELECT *, coalesce(lag(has) OVER (PARTITION BY table_id ORDER BY row_id), false) AS was
-      FROM (SELECT table_id, row_id, bool_or(tag='ched') AS has FROM g GROUP BY ALL))""",
+      FROM (SELECT table_id, row_id, bool_or(tag='ched') AS has FROM squared GROUP BY ALL))""",
     "box": "SELECT table_id, pos, cx-w/2 AS l, cy-h/2 AS t, cx+w/2 AS r, cy+h/2 AS b FROM fx_pred_box",
     "pair": """SELECT a.image, a.k, (greatest(least(a.r,b.r)-greatest(a.l,b.l),0)*greatest(least(a.b,b.b)-greatest(a.t,b.t),0)) AS i, (a.r-a.l)*(a.b-a.t)+(b.r-b.l)*(b.b-b.t) AS u,
         a.label=b.label AS same, abs(a.score-b.score) AS d_score
@@ -128,7 +152,10 @@ def steps(sql: str, **names: str) -> str:
             if word in known and word not in need:
                 need.add(word)
                 queue.append(known[word])
-    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in known.items() if k in need) + "\n" + sql
+    parts = [f"{k} AS ({v})" for k, v in known.items() if k in need]
+    if sql.startswith("WITH "):
+        return "WITH RECURSIVE " + ",\n".join([*parts, sql[5:]])
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + sql if parts else sql
 
 
 def query(name: str, sql: str | None = None, **names: str):
@@ -323,12 +350,31 @@ def _(spark, sf):
     return postprocess.run(i.cells, i.pdf)[1].select(T, "pdf_cell_id", "cell_id", *_r("iopdf"))
 
 
-@query("postprocess_simplified_cells")
+#: The simplified dialect, from ``moved_s`` on: matches counted once more for scores, first tokens' boxes, orphans as cells of their own.
+_SIMPLE = f"""WITH ts AS (SELECT * FROM fx_pdf_cell WHERE trim(text)<>''), ags AS (SELECT DISTINCT c.table_id, p.pdf_cell_id, c.cell_id, {INTER}/((p.r-p.l)*(p.b-p.t)) AS iopdf FROM moved_s c JOIN ts p ON {OVER}),
+  scs AS ({_scores("moved_s", "ags", "ags")}), gos AS (SELECT DISTINCT table_id, CASE WHEN score<ns THEN column_id ELSE column_id+1 END AS column_id FROM (
+    SELECT *, lead(tokens) OVER w AS nt, lead(score) OVER w AS ns FROM scs WINDOW w AS (PARTITION BY table_id ORDER BY column_id)) WHERE nt IS NOT NULL AND len(tokens)>0 AND len(list_intersect(tokens, nt))/len(tokens)>0.6),
+  kes AS (SELECT c.* FROM moved_s c ANTI JOIN gos USING (table_id, column_id)),
+  bes AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY table_id, pdf_cell_id ORDER BY iopdf DESC, cell_id) AS rn FROM ags SEMI JOIN kes USING (table_id, cell_id)) WHERE rn=1),
+  fis AS (SELECT * FROM (SELECT b.table_id, b.cell_id, p.l, p.t, p.r, p.b, row_number() OVER (PARTITION BY b.table_id, b.cell_id ORDER BY pdf_cell_id) AS rn FROM bes b JOIN ts p USING (table_id, pdf_cell_id)) WHERE rn=1),
+  bos AS (SELECT c.table_id, c.cell_id, c.row_id, c.column_id, coalesce(x.l,c.l) AS l, coalesce(x.t,c.t) AS t, coalesce(x.r,c.r) AS r, coalesce(x.b,c.b) AS b, c.cell_class, c.label FROM kes c LEFT JOIN fis x USING (table_id, cell_id)),
+  los AS (SELECT p.*, row_number() OVER (PARTITION BY table_id ORDER BY pdf_cell_id) AS rn FROM ts p ANTI JOIN bes USING (table_id, pdf_cell_id))"""
+
+
+@query("postprocess_simplified_cells", _SIMPLE + f""" SELECT table_id, cell_id, row_id, column_id, {_BOX}, cell_class, label FROM bos
+  UNION ALL SELECT o.table_id, d.m+o.rn, 0, 0, o.l, o.t, o.r, o.b, 2, 'body' FROM los o JOIN (SELECT table_id, greatest(max(cell_id),0) AS m FROM bos GROUP BY table_id) d USING (table_id)""")
 def _(spark, sf):
     i = In(spark, sf)
     return postprocess.run(i.cells, i.pdf, "simplified")[0].select(T, "cell_id", "row_id", "column_id", *_r(*"ltrb"), "cell_class", "label")
 
 
+@query("postprocess_simplified_matches", _SIMPLE + """ SELECT table_id, pdf_cell_id, cell_id, round(iopdf,6) AS iopdf FROM bes
+  UNION ALL SELECT o.table_id, o.pdf_cell_id, d.m+o.rn, 1.0 FROM los o JOIN (SELECT table_id, greatest(max(cell_id),0) AS m FROM bos GROUP BY table_id) d USING (table_id)""")
+def _(spark, sf):
+    i = In(spark, sf)
+    return postprocess.run(i.cells, i.pdf, "simplified")[1].select(T, "pdf_cell_id", "cell_id", *_r("iopdf"))
+
+
 @query("sq6_overlap_correction")
 def _(spark, sf):
     return postprocess.correct_overlaps(In(spark, sf).cells).select(T, "cell_id", *"ltrb")
@@ -339,11 +385,12 @@ def _(spark, sf):
     return assemble.dummy_responses(In(spark, sf).cells)
 
 
-@query("pf18_fallback_boxes", "SELECT c.table_id, c.cell_id, coalesce(CASE WHEN c.cell_id%3>0 THEN c.l END, b.l, 0) AS l, coalesce(CASE WHEN c.cell_id%3>0 THEN c.t END, b.t, 0) AS t, coalesce(CASE WHEN c.cell_id%3>0 THEN c.r END, b.r, 0) AS r, coalesce(CASE WHEN c.cell_id%3>0 THEN c.b END, b.b, 0) AS b FROM fx_table_cell c LEFT JOIN (SELECT * FROM fx_table_cell WHERE cell_id%2=0) b USING (table_id, cell_id)")
+@query("pf18_fallback_boxes", "SELECT table_id, cell_id, CASE WHEN gap THEN 0 ELSE l END AS l, CASE WHEN gap THEN 0 ELSE t END AS t, CASE WHEN gap THEN 0 ELSE r END AS r, CASE WHEN gap THEN 0 ELSE b END AS b FROM (SELECT *, cell_class=1 AND label='ched' AS gap FROM fx_table_cell)")
 def _(spark, sf):
+    """Cells of class 1 have no box of their own; predictions are missing for heads."""
     c = In(spark, sf).cells
-    holes = c.select(T, "cell_id", *(F.when(F.col("cell_id") % 3 > 0, F.col(k)).alias(k) for k in "ltrb"))
-    return assemble.with_fallback_boxes(holes, c.where("cell_id % 2 = 0"))
+    holes = c.select(T, "cell_id", *(F.when(F.col("cell_class") > 1, F.col(k)).alias(k) for k in "ltrb"))
+    return assemble.with_fallback_boxes(holes, c.where("label <> 'ched'"))
 
 
 _RESP = """SELECT d.table_id, d.start_col, d.start_row, min(d.cell_id) AS cell_id, arg_min(col_span, d.cell_id) AS col_span, arg_min(row_span, d.cell_id) AS row_span,
@@ -375,44 +422,67 @@ def _(spark, sf):
     return assemble.sizes(assemble.reindexed(_responses(spark, sf)))
 
 
-@query("sk1_response_documents")
+@query("w1_otsl_grid", "SELECT * FROM g")
 def _(spark, sf):
-    return assemble.document(assemble.reindexed(_responses(spark, sf)))
+    return otsl.grid(fx.otsl(spark, sf)).select(T, "pos", "tag", "row_id", "cell_id", "column_id")
 
 
-@query("w1_otsl_grid", "SELECT * FROM g")
+def _full(spark, sf):
+    return otsl.padded(otsl.rows_only(otsl.grid(fx.otsl(spark, sf))))
+
+
+@query("w2_padded_rows", "SELECT * FROM squared")
 def _(spark, sf):
-    return otsl.grid(fx.otsl(spark, sf)).select(T, "pos", "tag", "row_id", "cell_id", "column_id")
+    return _full(spark, sf)
+
+
+@query("w3_w4_spans", "SELECT table_id, row_id, column_id, tag, wide, tall, xwide, xtall FROM span5")
+def _(spark, sf):
+    return otsl.spans(_full(spark, sf)).select(T, "row_id", "column_id", "tag", "wide", "tall", "xwide", "xtall")
 
 
-@query("w3_w4_spans", "SELECT * FROM span WHERE tag IN ('fcel','ecel','ched','rhed','srow')")
+@query("sq3_registered_spans", "SELECT table_id, row_id, column_id, xwide, xtall, cancelled FROM span5 WHERE xwide>1")
 def _(spark, sf):
-    return otsl.spans(otsl.grid(fx.otsl(spark, sf))).select(T, "row_id", "column_id", "tag", "colspan", "rowspan")
+    return otsl.spans(_full(spark, sf)).where("xwide > 1").select(T, "row_id", "column_id", "xwide", "xtall", "cancelled")
 
 
-@query("q4_span_map", "SELECT g.table_id, g.cell_id, s.colspan, s.rowspan FROM span s JOIN g USING (table_id, row_id, column_id) WHERE s.tag IN ('fcel','ecel','ched','rhed','srow') AND (colspan>1 OR rowspan>1)")
+@query("q4_span_map", f"""SELECT table_id, cell_id, colspan, rowspan FROM (SELECT *, CAST(row_number() OVER (PARTITION BY table_id ORDER BY row_id, column_id)-1 AS BIGINT) AS cell_id
+  FROM span6 WHERE table_id IN (SELECT table_id FROM opening WHERE first_tag IN {CELL6})) WHERE colspan>1 OR rowspan>1""")
 def _(spark, sf):
-    return otsl.spans(otsl.grid(fx.otsl(spark, sf))).where("colspan > 1 or rowspan > 1").select(T, "cell_id", "colspan", "rowspan")
+    return otsl.span_map(fx.otsl(spark, sf))
 
 
 @query("w5_head_marks", "SELECT * FROM head")
 def _(spark, sf):
-    return otsl.head_marks(otsl.grid(fx.otsl(spark, sf)))
+    return otsl.head_marks(_full(spark, sf))
 
 
-_HTML = """SELECT h.table_id, string_agg(CASE WHEN closes THEN '</thead>|' ELSE '' END || CASE WHEN opens THEN '<thead>|' ELSE '' END || '<tr>|' || coalesce(x || '|','') || '</tr>', '|' ORDER BY h.row_id) AS html
-  FROM head h LEFT JOIN (SELECT table_id, row_id, string_agg(CASE WHEN colspan=1 AND rowspan=1 THEN '<td>|</td>' WHEN colspan>1 AND rowspan>1 THEN '<td| rowspan="' || rowspan || '"| colspan="' || colspan || '"|>|</td>'
-    WHEN colspan>1 THEN '<td| colspan="' || colspan || '"|>|</td>' ELSE '<td| rowspan="' || rowspan || '"|>|</td>' END, '|' ORDER BY column_id) AS x FROM span WHERE tag IN ('fcel','ecel','ched','rhed','srow') GROUP BY ALL) s USING (table_id, row_id) GROUP BY h.table_id"""
+_ROW = """SELECT h.table_id, string_agg(CASE WHEN closes THEN '</thead>|' ELSE '' END || CASE WHEN opens THEN '<thead>|' ELSE '' END || '<tr>|' || coalesce(x || '|','') || '</tr>', '|' ORDER BY h.row_id) AS html
+  FROM head h LEFT JOIN (SELECT table_id, row_id, string_agg(CASE WHEN cancelled OR (wide=1 AND tall=1 AND xwide=1) THEN '<td>|</td>' ELSE '<td'
+      || CASE WHEN wide>1 THEN '| colspan="' || wide || '"' ELSE '' END || CASE WHEN tall>1 THEN '| rowspan="' || tall || '"' ELSE '' END
+      || CASE WHEN xwide>1 THEN '| rowspan="' || xtall || '"| colspan="' || xwide || '"' ELSE '' END || '|>|</td>' END, '|' ORDER BY column_id) AS x
+    FROM span5 GROUP BY ALL) s USING (table_id, row_id) GROUP BY h.table_id"""
+_HTML = f"""SELECT * FROM ({_ROW}) WHERE table_id IN (SELECT table_id FROM opening WHERE first_tag IN {CELL5})
+  UNION ALL SELECT table_id, string_agg(tag, '|' ORDER BY pos) AS html FROM fx_otsl WHERE table_id NOT IN (SELECT table_id FROM opening WHERE first_tag IN {CELL5}) GROUP BY table_id"""
 
 
 @query("q2_html", _HTML)
 def _(spark, sf):
-    return otsl.html(otsl.grid(fx.otsl(spark, sf)))
+    return otsl.html(fx.otsl(spark, sf))
+
+
+@query("q3_cell_html", """SELECT table_id, row_id, column_id, CASE WHEN cancelled OR (wide=1 AND tall=1 AND xwide=1) THEN '<td></td>' ELSE concat('<td',
+  CASE WHEN wide>1 THEN concat(' colspan="', wide, '"') END, CASE WHEN tall>1 THEN concat(' rowspan="', tall, '"') END,
+  CASE WHEN xwide>1 THEN concat(' rowspan="', xtall, '" colspan="', xwide, '"') END, '></td>') END AS html FROM span5""")
+def _(spark, sf):
+    return otsl.spans(_full(spark, sf)).select(T, "row_id", "column_id", F.array_join(otsl.cell_html(), "").alias("html"))
 
 
 @query("q5_html_to_otsl")
 def _(spark, sf):
-    return otsl.from_html(otsl.html(otsl.grid(fx.otsl(spark, sf))))
+    """Spans as 2-D state go down from row to row, so there is no SQL; hand-worked cases are in the tests."""
+    found = otsl.from_html(otsl.html(fx.otsl(spark, sf)))
+    return found.withColumn("spans", F.to_json("spans"))
 
 
 @query("a11_otsl_dimensions", "SELECT table_id, min(CASE WHEN tag='nl' THEN k END) AS n_columns, count(*) FILTER (tag='nl') AS n_rows FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY pos)-1 AS k FROM fx_otsl) GROUP BY table_id")
@@ -425,27 +495,28 @@ def _(spark, sf):
     return otsl.cell_counts(fx.otsl(spark, sf))
 
 
-def _jagged(spark, sf):
-    return otsl.grid(fx.otsl(spark, sf).where("pos % 7 <> 3 or tag = 'nl'"))
+@query("a13_squareness", f"SELECT table_id, min(n)=max(n) AS square FROM gd_len GROUP BY ALL")
+def _(spark, sf):
+    return otsl.is_square(otsl.grid(fx.otsl(spark, sf)))
 
 
-_JAG = "(SELECT table_id, row_id, CAST(row_number() OVER (PARTITION BY table_id, row_id ORDER BY pos)-1 AS BIGINT) AS column_id, tag FROM g WHERE pos%7<>3)"
+@query("q1_pad_to_square", """SELECT table_id, row_id, column_id, tag FROM g UNION ALL SELECT table_id, row_id, unnest(range(n, most)) AS column_id, 'lcel' FROM (
+  SELECT *, max(n) OVER (PARTITION BY table_id) AS most FROM (SELECT table_id, row_id, count(*) AS n FROM g GROUP BY ALL)) WHERE n<most""")
+def _(spark, sf):
+    return otsl.padded(otsl.grid(fx.otsl(spark, sf)))
 
 
-@query("a13_squareness", f"SELECT table_id, min(n)=max(n) AS square FROM (SELECT table_id, row_id, count(*) AS n FROM {_JAG} GROUP BY ALL) GROUP BY ALL")
-def _(spark, sf):
-    return otsl.is_square(_jagged(spark, sf))
+_FIXED = "SELECT table_id, pos, CASE WHEN t='lcel' AND coalesce(lag(t) OVER (PARTITION BY table_id ORDER BY pos)='ucel', false) THEN 'fcel' ELSE t END AS tag FROM (SELECT *, CASE WHEN tag='xcel'{} THEN 'lcel' ELSE tag END AS t FROM fx_otsl)"
 
 
-@query("q1_pad_to_square", f"""SELECT * FROM {_JAG} UNION ALL SELECT table_id, row_id, unnest(range(n, most)) AS column_id, 'lcel' FROM (
-  SELECT *, max(n) OVER (PARTITION BY table_id) AS most FROM (SELECT table_id, row_id, count(*) AS n FROM {_JAG} GROUP BY ALL)) WHERE n<most""")
+@query("sq1_token_correction", _FIXED.format(""))
 def _(spark, sf):
-    return otsl.padded(_jagged(spark, sf))
+    return decode.corrected(fx.otsl(spark, sf))
 
 
-@query("sq1_token_correction", "SELECT table_id, pos, CASE WHEN tag='lcel' AND coalesce(lag(tag) OVER (PARTITION BY table_id ORDER BY pos)='ucel', false) THEN 'fcel' ELSE tag END AS tag FROM fx_otsl")
+@query("sq1_token_correction_simplified", _FIXED.format(" AND pos=first") .replace("FROM fx_otsl", "FROM (SELECT *, min(pos) OVER (PARTITION BY table_id) AS first FROM fx_otsl)"))
 def _(spark, sf):
-    return decode.corrected(fx.otsl(spark, sf))
+    return decode.corrected(fx.otsl(spark, sf), first_only=True)
 
 
 _EMIT = """SELECT table_id, pos, tag, first_lcel, CAST(row_number() OVER (PARTITION BY table_id ORDER BY pos)-1 AS BIGINT) AS box_ord FROM (
@@ -570,10 +641,17 @@ def _(spark, sf):
     return evaluate.histogram(p, "x", 0.0, 10.0)
 
 
-@query("a32_parity", "SELECT iou_50>0.98 AND agreement=1 AND d_score<=1 AS passes, round(iou_50,6) AS iou_50, round(agreement,6) AS agreement, round(d_score,6) AS d_score FROM (SELECT avg(CAST(iou>=0.5 AS DOUBLE)) AS iou_50, avg(CAST(same AS DOUBLE)) AS agreement, avg(d_score) AS d_score FROM pairs)")
+_RANKED = "(SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, ord) AS k FROM fx_detection WHERE variant='{}')"
+
+
+@query("a32_parity", f"""SELECT image, coalesce(median(d_box),0) AS d_median, round(avg(CAST(CASE WHEN u-i>0 THEN i/(u-i) ELSE 0 END>=0.5 AS DOUBLE)),6) AS iou_50, bool_and(same) AS labels, bool_and(d_score<=0.01) AS scores,
+    median(d_box)<2 AND avg(CAST(CASE WHEN u-i>0 THEN i/(u-i) ELSE 0 END>=0.5 AS DOUBLE))>0.98 AND bool_and(same) AND bool_and(d_score<=0.01) AS passes FROM (
+  SELECT a.image, greatest(least(a.r,b.r)-greatest(a.l,b.l),0)*greatest(least(a.b,b.b)-greatest(a.t,b.t),0) AS i, (a.r-a.l)*(a.b-a.t)+(b.r-b.l)*(b.b-b.t) AS u, a.label=b.label AS same, abs(a.score-b.score) AS d_score,
+    greatest(abs(a.l-b.l),abs(a.t-b.t),abs(a.r-b.r),abs(a.b-b.b)) AS d_box FROM {_RANKED.format("baseline")} a JOIN {_RANKED.format("candidate")} b ON a.image=b.image AND a.k=b.k) GROUP BY image""")
 def _(spark, sf):
-    d = fx.detections(spark, sf)
-    return evaluate.parity(evaluate.paired(d, "candidate"), d).select("passes", *_r("iou_50", "agreement", "d_score"))
+    """Per image, as some pass and others fail."""
+    d = evaluate.ranked(fx.detections(spark, sf))
+    return evaluate.parity(evaluate.paired(d, "candidate", by="id"), ("image",)).select("image", "d_median", *_r("iou_50"), "labels", "scores", "passes")
 
 
 @query("a17_latency", "SELECT stage, round(avg(ms),6) AS mean_ms, round(median(ms),6) AS median_ms, round(quantile_cont(ms,0.95),6) AS p95_ms FROM fx_timing GROUP BY stage")
@@ -592,11 +670,12 @@ def _(spark, sf):
 
 
 @query("j17_baseline_delta", """SELECT document, round(coalesce(a,0),6) AS base, round(coalesce(b,0),6) AS now, round(coalesce(b,0)-coalesce(a,0),6) AS delta, round(CASE WHEN abs(coalesce(a,0))<1e-9 THEN 0 ELSE (coalesce(b,0)-coalesce(a,0))/coalesce(a,0)*100 END,4) AS percent
-  FROM (SELECT document, avg(ms) AS a FROM fx_timing WHERE run%2=0 AND document%5<>0 GROUP BY ALL) FULL JOIN (SELECT document, avg(ms) AS b FROM fx_timing WHERE run%2=1 AND document%7<>0 GROUP BY ALL) USING (document)""")
+  FROM (SELECT document, avg(ms) AS a FROM fx_timing WHERE ms<700 GROUP BY ALL) FULL JOIN (SELECT document, avg(ms) AS b FROM fx_timing WHERE ms>=300 GROUP BY ALL) USING (document)""")
 def _(spark, sf):
+    """Documents' calls of under 700 ms against those of 300 and more; some documents have the one or the other alone."""
     t = fx.timings(spark, sf)
-    half = lambda c: t.where(c).groupBy("document").agg(F.avg("ms").alias("ms"))
-    return evaluate.against_baseline(half("run % 2 = 0 and document % 5 <> 0"), half("run % 2 = 1 and document % 7 <> 0"), "document").select("document", *_r("base", "now", "delta"), *_r("percent", places=4))
+    mean = lambda c: t.where(c).groupBy("document").agg(F.avg("ms").alias("ms"))
+    return evaluate.against_baseline(mean("ms < 700"), mean("ms >= 300"), "document").select("document", *_r("base", "now", "delta"), *_r("percent", places=4))
 
 
 @query("a27_best_run", "SELECT document, run, round(a,6) AS avg_ms FROM (SELECT *, row_number() OVER (PARTITION BY document ORDER BY a, run) AS rn FROM (SELECT document, run, avg(ms) AS a FROM fx_timing GROUP BY ALL)) WHERE rn=1")

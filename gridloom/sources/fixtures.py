@@ -13,11 +13,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per table row: table_id, row_id, and the integers p, s, q that places derive from."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+def rows(spark: SparkSession, sf_dir: str, big: bool = False) -> DataFrame:
+    """One row per table row: table_id, row_id, and the integers p, s, q that places derive from.
+
+    A table is an order, of up to seven rows; with ``big`` a supplier's lines of one number, of up to some hundred rows.
+    """
+    key = F.col("l_suppkey") * 10 + F.col("l_linenumber") if big else F.col("l_orderkey")
+    order = Window.partitionBy(key).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     return read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").cast("long").alias("table_id"),
+        key.cast("long").alias("table_id"),
         (F.row_number().over(order) - 1).cast("long").alias("row_id"),
         F.col("l_partkey").cast("long").alias("p"),
         F.col("l_suppkey").cast("long").alias("s"),
@@ -25,13 +29,13 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, sf_dir).withColumn("col", F.explode(F.array(*(F.lit(c).cast("long") for c in range(4)))))
+def grid(spark: SparkSession, sf_dir: str, big: bool = False) -> DataFrame:
+    return rows(spark, sf_dir, big).withColumn("col", F.explode(F.array(*(F.lit(c).cast("long") for c in range(4)))))
 
 
-def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def table_cells(spark: SparkSession, sf_dir: str, big: bool = False) -> DataFrame:
     """table_id, cell_id, row_id, column_id, l, t, r, b, cell_class, label, colspan_val, rowspan_val."""
-    g = grid(spark, sf_dir)
+    g = grid(spark, sf_dir, big)
     left, top = 100 * F.col("col") + (F.col("p") + F.col("col")) % 7, 20 * F.col("row_id") + F.col("s") % 5
     wide = ((F.col("p") + 3 * F.col("col")) % 10 == 0) & (F.col("col") < 3)
     return g.select(
@@ -50,14 +54,14 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pdf_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pdf_cells(spark: SparkSession, sf_dir: str, big: bool = False) -> DataFrame:
     """Text tokens of a page: table_id, pdf_cell_id, l, t, r, b, text."""
     c, p, s, q = (F.col(x) for x in ("col", "p", "s", "q"))
     shifted = (s + c) % 17 == 0
     left = 100 * c + (s * 3 + c) % 25 - 10 + F.when(shifted, 85).otherwise(0)
     top = 20 * F.col("row_id") + p % 9 - 4
     return (
-        grid(spark, sf_dir)
+        grid(spark, sf_dir, big)
         .where((p + 2 * c) % 11 != 0)
         .select(
             "table_id",
@@ -72,19 +76,30 @@ def pdf_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def otsl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structure tokens: table_id, pos, tag; every row ends with nl."""
-    c, p, s = F.col("col"), F.col("p"), F.col("s")
+    """Structure tokens: table_id, pos, tag; every row ends with nl.
+
+    Tables have three to six columns; some rows are short or empty, some tables begin with no cell, and spans over
+    rows and columns touch and overlap.
+    """
+    r, c, p, s = F.col("row_id"), F.col("col"), F.col("p"), F.col("s")
+    h = p + 3 * c + 5 * r
     tag = (
-        F.when((c > 0) & ((p + c) % 6 == 0), "lcel")
-        .when((F.col("row_id") > 0) & ((s + c) % 9 == 0), "ucel")
-        .when(F.col("row_id") == 0, "ched")
+        F.when((r == 0) & (c == 0) & (p % 19 < 2), F.when(p % 19 == 0, "lcel").otherwise("xcel"))
+        .when((c > 0) & (h % 6 == 0), "lcel")
+        .when((c > 0) & (h % 6 == 1) & (s % 3 == 0), "xcel")
+        .when((r > 0) & ((s + c) % 5 == 0), "ucel")
+        .when((r > 0) & (c > 0) & ((s + c) % 5 == 1) & (p % 2 == 0), "xcel")
+        .when((r == 0) | (r == 2) & (p % 4 == 0), "ched")
         .when(c == 0, "rhed")
+        .when(p % 13 == 0, "srow")
         .when((p * c) % 8 == 0, "ecel")
         .otherwise("fcel")
     )
-    cells = grid(spark, sf_dir).select("table_id", (F.col("row_id") * 5 + c).alias("pos"), tag.alias("tag"))
-    ends = rows(spark, sf_dir).select("table_id", (F.col("row_id") * 5 + 4).alias("pos"), F.lit("nl").alias("tag"))
-    return cells.unionByName(ends)
+    lines = rows(spark, sf_dir)
+    wide = lines.withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), 2 + F.col("table_id") % 4)))
+    there = ((c == 0) | ((p + s + c) % 23 != 0)) & ((r == 0) | (s % 29 != 0))
+    cells = wide.where(there).select("table_id", (r * 16 + c).alias("pos"), tag.alias("tag"))
+    return cells.unionByName(lines.select("table_id", (r * 16 + 15).alias("pos"), F.lit("nl").alias("tag")))
 
 
 def predicted_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +124,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("table_id").alias("image"),
         (F.col("row_id") * 4 + c).alias("ord"),
         F.when((p + c) % 9 == 0, "empty").when(c == 0, "head").otherwise("text").alias("label"),
-        ((p * 7 + c + v * (s % 2)) % 100).cast("long").alias("score"),
+        (((p * 7 + c + v * (s % 2)) % 100) / 100).alias("score"),
         left.cast("double").alias("l"),
         top.cast("double").alias("t"),
         (left + 60 + F.col("q") % 20).cast("double").alias("r"),
@@ -131,7 +146,7 @@ def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GRID = "SELECT r.*, CAST(c.col AS BIGINT) AS col FROM fx_row r, (VALUES (0),(1),(2),(3)) c(col)"
 CTE = {
     "fx_row": """SELECT CAST(l_orderkey AS BIGINT) AS table_id, CAST(row_number() OVER (PARTITION BY l_orderkey
-        ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS BIGINT) AS row_id, CAST(l_partkey AS BIGINT) AS p,
+        ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS BIGINT) AS row_id, CAST(l_partkey AS BIGINT) AS p,
         CAST(l_suppkey AS BIGINT) AS s, CAST(l_quantity AS BIGINT) AS q FROM lineitem""",
     "fx_grid": _GRID,
     "fx_table_cell": """SELECT table_id, row_id*4+col AS cell_id, row_id, col AS column_id,
@@ -146,17 +161,20 @@ CTE = {
         CASE WHEN (p+col)%23=0 THEN '' ELSE 'w' || p END AS text
         FROM (SELECT *, 100*col+(s*3+col)%25-10+CASE WHEN (s+col)%17=0 THEN 85 ELSE 0 END AS x, 20*row_id+p%9-4 AS y
               FROM fx_grid WHERE (p+2*col)%11<>0)""",
-    "fx_otsl": """SELECT table_id, row_id*5+col AS pos, CASE WHEN col>0 AND (p+col)%6=0 THEN 'lcel'
-        WHEN row_id>0 AND (s+col)%9=0 THEN 'ucel' WHEN row_id=0 THEN 'ched' WHEN col=0 THEN 'rhed'
-        WHEN (p*col)%8=0 THEN 'ecel' ELSE 'fcel' END AS tag FROM fx_grid
-        UNION ALL SELECT table_id, row_id*5+4, 'nl' FROM fx_row""",
+    "fx_otsl": """SELECT table_id, row_id*16+col AS pos, CASE WHEN row_id=0 AND col=0 AND p%19=0 THEN 'lcel' WHEN row_id=0 AND col=0 AND p%19=1 THEN 'xcel'
+        WHEN col>0 AND (p+3*col+5*row_id)%6=0 THEN 'lcel' WHEN col>0 AND (p+3*col+5*row_id)%6=1 AND s%3=0 THEN 'xcel'
+        WHEN row_id>0 AND (s+col)%5=0 THEN 'ucel' WHEN row_id>0 AND col>0 AND (s+col)%5=1 AND p%2=0 THEN 'xcel'
+        WHEN row_id=0 OR (row_id=2 AND p%4=0) THEN 'ched' WHEN col=0 THEN 'rhed' WHEN p%13=0 THEN 'srow'
+        WHEN (p*col)%8=0 THEN 'ecel' ELSE 'fcel' END AS tag
+        FROM (SELECT *, unnest(range(CAST(3+table_id%4 AS BIGINT))) AS col FROM fx_row) WHERE (col=0 OR (p+s+col)%23<>0) AND (row_id=0 OR s%29<>0)
+        UNION ALL SELECT table_id, row_id*16+15, 'nl' FROM fx_row""",
     "fx_pred_box": """SELECT table_id, k AS pos, 0.5+CAST(e[(k*4)%64+1] AS DOUBLE) AS cx, 0.5+CAST(e[(k*4+1)%64+1] AS DOUBLE) AS cy,
         abs(CAST(e[(k*4+2)%64+1] AS DOUBLE)) AS w, abs(CAST(e[(k*4+3)%64+1] AS DOUBLE)) AS h, CAST(e[(k*4+4)%64+1] AS DOUBLE) AS c0,
         CAST(e[(k*4+5)%64+1] AS DOUBLE) AS c1, CAST(e[(k*4+6)%64+1] AS DOUBLE) AS c2
         FROM (SELECT CAST(vec_id AS BIGINT) AS table_id, embedding AS e, unnest(range(16)) AS k FROM embeddings)""",
     "fx_detection": """SELECT CASE WHEN v=0 THEN 'baseline' ELSE 'candidate' END AS variant, table_id AS image, row_id*4+col AS ord,
         CASE WHEN (p+col)%9=0 THEN 'empty' WHEN col=0 THEN 'head' ELSE 'text' END AS label,
-        CAST((p*7+col+v*(s%2))%100 AS BIGINT) AS score, CAST(100*col+(p+col)%7+v*(s%12) AS DOUBLE) AS l,
+        ((p*7+col+v*(s%2))%100)/100.0::DOUBLE AS score, CAST(100*col+(p+col)%7+v*(s%12) AS DOUBLE) AS l,
         CAST(20*row_id+s%5+v*(p%3) AS DOUBLE) AS t, CAST(100*col+(p+col)%7+v*(s%12)+60+q%20 AS DOUBLE) AS r,
         CAST(20*row_id+s%5+v*(p%3)+14 AS DOUBLE) AS b
         FROM fx_grid, (VALUES (0),(1)) w(v) WHERE NOT (v=1 AND (p+col)%13=0)""",
@@ -164,6 +182,10 @@ CTE = {
         ORDER BY ts, event_id) - 1 AS BIGINT) AS run, CAST(event_id % 997 AS BIGINT) AS ms FROM events""",
 }
 
+CTE["fx_big_row"] = CTE["fx_row"].replace("l_orderkey AS BIGINT", "l_suppkey*10+l_linenumber AS BIGINT").replace("PARTITION BY l_orderkey", "PARTITION BY l_suppkey*10+l_linenumber")
+for _name in ("grid", "table_cell", "pdf_cell"):
+    CTE[f"fx_big_{_name}"] = CTE[f"fx_{_name}"].replace("fx_row", "fx_big_row").replace("fx_grid", "fx_big_grid")
+
 
 def with_ctes(sql: str) -> str:
     """``sql`` behind the common table expressions."""

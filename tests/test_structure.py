@@ -26,9 +26,59 @@ def test_spans_and_html(spark):
     grid = otsl.grid(tokens_of(spark, "ched lcel ched nl fcel fcel ucel nl rhed fcel fcel nl"))
     spans = {(r["row_id"], r["column_id"]): (r["colspan"], r["rowspan"]) for r in otsl.spans(grid).collect()}
     assert spans[(0, 0)] == (2, 1) and spans[(0, 2)] == (1, 2) and spans[(2, 1)] == (1, 1)
-    html = otsl.html(grid).first()["html"]
+    html = otsl.html(tokens_of(spark, "ched lcel ched nl fcel fcel ucel nl rhed fcel fcel nl")).first()["html"]
     assert html.startswith('<thead>|<tr>|<td| colspan="2"|>|</td>|<td| rowspan="2"|>|</td>|</tr>|</thead>|<tr>')
-    assert otsl.tags_of_html(html.split("|")) == "fcel lcel fcel nl fcel fcel ucel nl fcel fcel fcel nl".split()
+    assert otsl.tags_of_html(html.split("|"))["tags"] == "fcel lcel fcel nl fcel fcel ucel nl fcel fcel fcel nl".split()
+
+
+#: Tags and the HTML of their cells, row by row.
+SPANS = {
+    "fcel lcel fcel nl ucel xcel fcel nl": '<tr>|<td| colspan="2"| rowspan="2"|>|</td>|<td>|</td>|</tr>|<tr>|<td>|</td>|</tr>',
+    "fcel xcel nl fcel fcel nl": '<tr>|<td| rowspan="1"| colspan="2"|>|</td>|</tr>|<tr>|<td>|</td>|<td>|</td>|</tr>',
+    "fcel xcel nl ucel xcel nl": '<tr>|<td| rowspan="2"| rowspan="2"| colspan="2"|>|</td>|</tr>|<tr>|</tr>',
+    "fcel xcel nl xcel xcel nl": '<tr>|<td| rowspan="2"| colspan="2"|>|</td>|</tr>|<tr>|</tr>',
+    "fcel fcel nl xcel fcel nl": "<tr>|<td>|</td>|<td>|</td>|</tr>|<tr>|<td>|</td>|</tr>",
+    # the second span over rows and columns meets the first: it is cancelled, with its rowspan
+    "fcel xcel fcel nl xcel fcel xcel nl fcel ucel fcel nl": '<tr>|<td| rowspan="2"| colspan="2"|>|</td>|<td>|</td>|</tr>|<tr>|<td>|</td>|</tr>|<tr>|<td>|</td>|<td>|</td>|</tr>',
+    # short rows are filled with lcel, empty rows go
+    "ched nl nl fcel fcel nl": '<thead>|<tr>|<td| colspan="2"|>|</td>|</tr>|</thead>|<tr>|<td>|</td>|<td>|</td>|</tr>',
+    "xcel fcel nl": "xcel|fcel|nl",
+    "<td> </td>": "<td>|</td>",
+}
+
+
+def test_two_dimensional_spans(spark):
+    rows = [(k, i, t) for k, text in enumerate(SPANS) for i, t in enumerate(text.split(" "))]
+    tokens = spark.createDataFrame(rows, "table_id long, pos long, tag string")
+    got = {r["table_id"]: r["html"] for r in otsl.html(tokens).collect()}
+    assert [got[k] for k in range(len(SPANS))] == list(SPANS.values())
+    spans = {(r["table_id"], r["cell_id"]): (r["colspan"], r["rowspan"]) for r in otsl.span_map(tokens).collect()}
+    assert spans == {(0, 0): (2, 2), (1, 0): (2, 1), (2, 0): (2, 2), (3, 0): (2, 2), (5, 0): (2, 2), (5, 4): (1, 2), (6, 0): (2, 1)}
+    empty = tokens.limit(0)
+    assert otsl.html(empty).count() == 0 and otsl.span_map(empty).count() == 0
+
+
+def test_html_to_tags(spark):
+    read = lambda html, contents=None: otsl.tags_of_html(html.split("|"), contents)
+    two = '<tr>|<td| colspan="2"| rowspan="2"|>|</td>|<td>|</td>|</tr>|<tr>|<td>|</td>|</tr>'
+    assert " ".join(read(two)["tags"]) == "fcel xcel fcel nl xcel xcel fcel nl"
+    assert read(two)["spans"] == {0: [2, 2]} and read(two)["square"] and read(two)["n_columns"] == 3
+    swapped = two.replace(' colspan="2"| rowspan="2"', ' rowspan="2"| colspan="2"')
+    assert read(swapped) == read(two)
+    # emptiness by what a cell holds beside marks; spans count too
+    assert " ".join(read(two, [["<b>", " ", "</b>"], ["x"], []])["tags"]) == "ecel xcel fcel nl xcel xcel ecel nl"
+    tall = '<tr>|<td>|</td>|<td| rowspan="3"|>|</td>|</tr>|<tr>|<td>|</td>|</tr>|<tr>|<td>|</td>|</tr>'
+    assert " ".join(read(tall)["tags"]) == "fcel fcel nl fcel ucel nl fcel ucel nl"
+    # spans beyond 20 are passed over, so the rows differ in length and are filled up
+    far = read('<tr>|<td| colspan="21"|>|</td>|</tr>|<tr>|<td>|</td>|</tr>')
+    assert " ".join(far["tags"]) == "fcel nl fcel nl" and far["spans"] == {}
+    short = read("<tr>|<td>|</td>|<td>|</td>|</tr>|<tr>|<td>|</td>|</tr>")
+    assert " ".join(short["tags"]) == "fcel fcel nl fcel ucel nl" and short["square"]
+    # a row beyond the one above is a failure
+    assert read("<tr>|<td>|</td>|</tr>|<tr>|<td>|</td>|<td>|</td>|<td>|</td>|</tr>") is None
+    found = otsl.from_html(spark.createDataFrame([(1, two, [["x"], ["x"], [" "]]), (2, "<tr>|<td>|</td>|</tr>|<tr>|<td>|</td>|<td>|</td>|<td>|</td>|</tr>", None)], "table_id long, html string, contents array<array<string>>"))
+    rows = {r["table_id"]: r for r in found.collect()}
+    assert rows[1]["ok"] and rows[1]["tags"] == "fcel xcel fcel nl xcel xcel ecel nl" and not rows[2]["ok"] and rows[2]["tags"] is None
 
 
 def test_golden_sequence(spark):
@@ -37,7 +87,7 @@ def test_golden_sequence(spark):
     df = spark.createDataFrame([(ids,)], "ids array<int>")
     tags = df.select(decode.tags(F.col("ids")).alias("t")).first()["t"]
     assert " ".join(tags) == "fcel ched ched nl" + " rhed fcel fcel nl" * 6
-    html = otsl.html(otsl.grid(tokens_of(spark, " ".join(tags)))).first()["html"]
+    html = otsl.html(tokens_of(spark, " ".join(tags))).first()["html"]
     assert html == "<thead>|<tr>|<td>|</td>|<td>|</td>|<td>|</td>|</tr>|</thead>" + "|<tr>|<td>|</td>|<td>|</td>|<td>|</td>|</tr>" * 6
 
 
@@ -68,6 +118,26 @@ def test_push_apart():
     assert postprocess.push_apart([[0, 0, 10, 10], [8, 0, 20, 10]]) == [[0, 0, 7, 10], [9, 0, 20, 10]]
 
 
+def test_deleted_columns_and_pages(spark):
+    cells = spark.createDataFrame([(t, c, 0, c, 10.0 * c, 0.0, 10.0 * c + 9, 9.0, 2, "fcel", None, None) for t in (1, 2) for c in range(4)], CELL)
+    gone = spark.createDataFrame([(1, 0), (1, 2)], "table_id long, column_id long")
+    assert sorted((r["table_id"], r["cell_id"], r["column_id"]) for r in postprocess.delete_columns(cells, gone).collect()) == [(1, 1, 0), (1, 3, 1), (2, 0, 0), (2, 1, 1), (2, 2, 2), (2, 3, 3)]
+    tokens = spark.createDataFrame([(1, 0, 1.0, 1.0, 8.0, 8.0, "a")], TOKEN)
+    done, links = postprocess.page(cells, tokens, correct_overlapping_cells=True)
+    assert {r["cell_id"] for r in done.where("table_id = 2").collect()} == {0, 1, 2, 3}
+    assert [tuple(r)[:3] for r in links.collect()] == [(1, 0, 0)]
+    plain, none = postprocess.page(cells, tokens, do_cell_matching=False)
+    assert plain.count() == 8 and none.count() == 0
+
+
+def test_merged_boxes(spark):
+    boxes = spark.createDataFrame([(1, i, 10.0 * i, 0.0, 2.0, 2.0) for i in range(5)], "table_id long, box_ord long, cx double, cy double, w double, h double")
+    pairs = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 4, -1)], "table_id long, box_ord long, next_ord long")
+    got = lambda c: {r["box_ord"]: r["w"] for r in decode.merged(boxes, pairs, c).collect()}
+    assert got(True) == {0: 12.0, 1: 12.0, 3: 2.0, 4: 2.0}
+    assert got(False) == {0: 12.0, 2: 2.0, 3: 2.0, 4: 2.0}
+
+
 def test_greedy_pairs(spark):
     rows = [("baseline", 1, 0, "a", 5, 0.0, 0.0, 10.0, 10.0), ("baseline", 1, 1, "a", 5, 1.0, 0.0, 11.0, 10.0), ("candidate", 1, 0, "a", 5, 1.0, 0.0, 11.0, 10.0)]
     d = spark.createDataFrame(rows, "variant string, image long, ord long, label string, score long, l double, t double, r double, b double")
