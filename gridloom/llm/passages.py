@@ -56,6 +56,11 @@ STEP = 1 << 15
 #: Words as bytes.split() finds them.
 WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 BLANKS = re.compile(r"[ \t\n\r\x0b\x0c]*")
+BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
+IN_WORD = np.ones(256, np.int8)
+IN_WORD[list(b" \t\n\r\x0b\x0c")] = 0
+#: Bytes hashed at once, powers kept at hand, characters of texts parsed at once (or one text).
+SLICE, TABLE, GROUP = 1 << 18, 1 << 19, 1 << 19
 FACTOR = 0xD1342543DE82EF95
 INVERSE = pow(FACTOR, -1, 1 << 64)
 _rng = np.random.default_rng(SEED)
@@ -100,24 +105,72 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 to base ** (n - 1) modulo 2 ** 64."""
+def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out, dtype=np.uint64)
 
 
+_tables: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1) modulo 2 ** 64; those of common lengths are kept."""
+    if n > TABLE:
+        return _powers(base, n)
+    if base not in _tables:
+        _tables[base] = _powers(base, TABLE)
+    return _tables[base][:n]
+
+
+def sums(values: np.ndarray) -> np.ndarray:
+    """Prefix sums of the values times rising powers of FACTOR."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(FACTOR, len(values)), dtype=np.uint64, out=out[1:])
+    return out
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(32))
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of the k words from every place on: a polynomial of the words' hashes, mixed."""
     n = len(hashes)
     if n < k:
         return np.zeros(0, np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * powers(FACTOR, n), dtype=np.uint64, out=sums[1:])
-    x = (sums[k:] - sums[:-k]) * powers(INVERSE, n - k + 1)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+    total = sums(hashes)
+    return mixed((total[k:] - total[:-k]) * powers(INVERSE, n - k + 1))
+
+
+def word_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of bytes."""
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = IN_WORD[np.frombuffer(raw, np.uint8)]
+    turns = np.diff(inside)
+    return np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word of bytes: a polynomial of its bytes, mixed with its length."""
+    start, end = word_places(raw)
+    total = sums(np.frombuffer(raw, np.uint8).astype(np.uint64))
+    length = (end - start).astype(np.uint64)
+    return mixed((total[end] - total[start]) * powers(INVERSE, len(raw) + 1)[start] + length * np.uint64(0xA0761D6478BD642F))
+
+
+def slices(raw: bytes):
+    """Pieces of about SLICE bytes that end at a blank, so that long texts need little memory."""
+    at = 0
+    while at < len(raw):
+        end = at + SLICE
+        if end < len(raw):
+            m = BLANK.search(raw, end)
+            end = m.end() if m else len(raw)
+        yield raw[at:end]
+        at = end
 
 
 def slide(x: np.ndarray, n: int) -> np.ndarray:
@@ -144,35 +197,47 @@ def slide_first(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return both(x, at, n - step) if n > step else (x, at)
 
 
-class Text:
-    """One text's words as hashes, its paragraphs and its windows."""
-
-    def __init__(self, text: str) -> None:
-        counts, words = [], []
-        for line in text.encode("utf-8", "replace").lower().split(b"\n"):
-            found = line.split()
-            words += found
-            counts.append(len(found))
-        h = xxhash.xxh64_intdigest
-        self.hashes = np.fromiter((h(w, SEED) for w in words), np.uint64, len(words))
+class Texts:
+    """Some texts' words as hashes, all in a row, with their paragraphs and windows."""
+
+    def __init__(self, texts: list[str]) -> None:
+        parts = [t.encode("utf-8", "replace").lower() for t in texts]
+        begins = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        hashes, starts, breaks, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], 0
+        for raw in slices(b"\n".join(parts)):
+            starts.append(word_places(raw)[0] + at)
+            breaks.append(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) + at)
+            hashes.append(word_hashes(raw))
+            at += len(raw)
+        places = np.concatenate(starts)
+        self.hashes = np.concatenate(hashes)
+        #: the first word of each text, and the number of words
+        self.first = np.searchsorted(places, begins)
+        self.owner = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.shingles = grams(self.hashes, SHINGLE)
-        ends = np.cumsum(counts)
-        self.lines = [(e - n, e) for e, n in zip(ends.tolist(), counts) if n >= MIN_WORDS]
+        bounds = np.searchsorted(places, np.concatenate([[0], *breaks, [at]]))
+        long = np.flatnonzero(np.diff(bounds) >= MIN_WORDS)
+        #: first word and past last word of each paragraph
+        self.lines = np.stack([bounds[long], bounds[long + 1]], 1).astype(np.int64)
 
     def paragraph(self, w0: int, w1: int) -> np.ndarray:
-        """The paragraph's distinct shingles in order."""
-        return np.unique(self.shingles[w0 : w1 - SHINGLE + 1])
+        """The paragraph's shingles."""
+        return self.shingles[w0 : w1 - SHINGLE + 1]
 
     def window_runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Runs of windows: band key, first window, number of windows, place of the least shingle."""
-        if len(self.shingles) < WIDTH:
+        n = len(self.hashes) - MIN_WORDS + 1
+        whole = np.flatnonzero(self.owner[: max(n, 0)] == self.owner[MIN_WORDS - 1 :])  # windows within one text
+        if not len(whole):
             return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
         low, at = slide_first(permuted(self.shingles, 0), WIDTH)
         keys = chained(np.zeros(len(low), np.uint64), low)
         for k in range(1, WINDOW_ROWS):
             keys = chained(keys, slide(permuted(self.shingles, k), WIDTH))
-        first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (at[1:] != at[:-1])]))
-        return keys[first], first, np.diff(np.append(first, len(keys))), at[first]
+        keys, at = keys[whole], at[whole]
+        new = (keys[1:] != keys[:-1]) | (at[1:] != at[:-1]) | (whole[1:] != whole[:-1] + 1)
+        first = np.flatnonzero(np.concatenate([[True], new]))
+        return keys[first], whole[first], np.diff(np.append(first, len(keys))), at[first]
 
 
 PARSED = T.StructType(
@@ -188,62 +253,88 @@ RUN, SET = 0, 1
 PAYLOADS = fields("kind int, key long, doc_id long, at int, place int, flags int, payload longs")
 
 
-def lists(parts: list[np.ndarray], kind) -> pa.Array:
-    """An array of lists from one piece each."""
-    ends = np.cumsum([0, *(len(p) for p in parts)]).astype(np.int32)
-    whole = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(ends, pa.array(whole.view(np.int64) if whole.dtype == np.uint64 else whole.astype(np.int64), pa.int64()).cast(kind))
-
-
 def _texts(batch: pa.RecordBatch):
     return zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
 
 
-def _parse(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _groups(batch: pa.RecordBatch):
+    """Slices of a batch of about GROUP characters of text, with their texts."""
+    texts = batch.column("text").to_pylist()
+    at = size = 0
+    for i, t in enumerate(texts):
+        if i > at and size + len(t) > GROUP:
+            yield batch.slice(at, i - at), texts[at:i]
+            at, size = i, 0
+        size += len(t)
+    if texts:
+        yield batch.slice(at), texts[at:]
+
+
+def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """An array of lists: the values cut at ``ends``, which begin with 0."""
+    flat = values.view(np.int64) if values.dtype == np.uint64 else values
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat).cast(kind))
+
+
+def _parse_group(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+    t = Texts(texts)
+    keys, first, _, _ = t.window_runs()
+    lines = t.lines
+    sets = [t.paragraph(a, b) for a, b in lines.tolist()]
+    whole = np.array([xxhash.xxh64_intdigest(t.hashes[a:b].tobytes(), SEED) for a, b in lines.tolist()], np.uint64)
+    bands = band_keys(signatures(sets)).ravel() if sets else np.zeros(0, np.int64)
+    texts_of = np.arange(len(texts) + 1)
+    run_text, line_text = t.owner[first], t.owner[lines[:, 0]]
+    runs_end, lines_end = np.searchsorted(run_text, texts_of), np.searchsorted(line_text, texts_of)
+    long, short = pa.int64(), pa.int32()
+    cols = [
+        batch.column("doc_id"), _lists(keys, runs_end, long), _lists(whole, lines_end, long), _lists(bands, lines_end * BANDS, long),
+        _lists(first - t.first[run_text], runs_end, short), *(_lists(lines[:, k] - t.first[line_text], lines_end, short) for k in (0, 1)),
+    ]
+    return pa.RecordBatch.from_arrays(cols, names=PARSED.names)
+
+
+def _parse(batches):
     """Per text: keys and first windows of its runs; hashes, bounds and bands of its paragraphs."""
-    docs, cols = [], {c: [] for c in PARSED.names[1:]}
-    for doc, text in _texts(batch):
-        t = Text(text)
-        keys, first, _, _ = t.window_runs()
-        sets = [t.paragraph(*b) for b in t.lines]
-        whole = np.array([xxhash.xxh64_intdigest(t.hashes[a:b].tobytes(), SEED) for a, b in t.lines], np.uint64)
-        bounds = np.array(t.lines, np.int64).reshape(-1, 2)
-        bands = band_keys(signatures(sets)).ravel() if sets else np.zeros(0, np.int64)
-        docs.append(doc)
-        for c, v in zip(cols, (keys, whole, bands, first, bounds[:, 0], bounds[:, 1])):
-            cols[c].append(v)
-    kinds = {"keys": pa.int64(), "h": pa.int64(), "bands": pa.int64()}
-    return pa.RecordBatch.from_arrays(
-        [pa.array(docs, pa.int64()), *(lists(v, kinds.get(c, pa.int32())) for c, v in cols.items())], names=PARSED.names
-    )
-
-
-def _payload_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Hashes of the windows of marked runs and shingles of marked paragraphs (marks: kind, at, flags)."""
+    for batch in batches:
+        for part, texts in _groups(batch):
+            yield _parse_group(part, texts)
+
+
+def _payload_group(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+    t = Texts(texts)
+    keys, first, n, place = t.window_runs()
+    keys = keys.view(np.int64)
+    windows = grams(t.hashes, MIN_WORDS).view(np.int64)
+    lines = dict(t.lines.tolist())
+    marks = batch.column("marks")
+    of = np.repeat(np.arange(len(texts)), np.diff(marks.offsets.to_numpy()))
+    flat = marks.flatten()
+    kind, at, key, flags = (flat.field(c).to_numpy() for c in ("kind", "at", "key", "flags"))
+    docs = batch.column("doc_id").to_numpy()
+    absolute = t.first[of] + at
+    slot = np.searchsorted(first, absolute)
     rows, payloads = [], []
-    for (doc, text), marks in zip(_texts(batch), batch.column("marks").to_pylist()):
-        t = Text(text)
-        keys, first, n, place = t.window_runs()
-        windows = grams(t.hashes, MIN_WORDS).view(np.int64)
-        paragraphs = dict(t.lines)
-        for m in marks:
-            w = m["at"]
-            if m["kind"] == RUN:
-                k = int(np.searchsorted(first, w))
-                # rows of one id are one document: its other texts have other runs
-                if k == len(first) or first[k] != w or keys.view(np.int64)[k] != m["key"]:
-                    continue
-                payloads.append(windows[w : w + n[k]])
-                spot = int(place[k]) - w
-            elif w in paragraphs:
-                payloads.append(t.paragraph(w, paragraphs[w]).view(np.int64))
-                spot = paragraphs[w]
-            else:
-                continue
-            rows.append((m["kind"], m["key"], doc, w, spot, m["flags"]))
-    cols = list(zip(*rows)) or [()] * 6
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds)), lists(payloads, pa.int64())], names=PAYLOADS.names)
+    for i, (k, w, s, o) in enumerate(zip(kind.tolist(), absolute.tolist(), slot.tolist(), of.tolist())):
+        # rows of one id are one document: a mark may belong to another text of it
+        if k == RUN and s < len(first) and first[s] == w and keys[s] == key[i] and t.owner[w] == o:
+            payloads.append(windows[w : w + n[s]])
+            rows.append((i, place[s] - w))
+        elif k == SET and w in lines and t.owner[w] == o:
+            payloads.append(np.unique(t.paragraph(w, lines[w])).view(np.int64))
+            rows.append((i, lines[w] - w))
+    i, spot = np.array(rows, np.int64).reshape(-1, 2).T
+    ends = np.cumsum([0, *(len(p) for p in payloads)])
+    cols = [kind[i], key[i], docs[of[i]], at[i], spot.astype(np.int32), flags[i]]
+    payload = _lists(np.concatenate([np.zeros(0, np.int64), *payloads]), ends, pa.int64())
+    return pa.RecordBatch.from_arrays([*map(pa.array, cols), payload], names=PAYLOADS.names)
+
+
+def _payload_rows(batches):
+    """Hashes of the windows of marked runs and shingles of marked paragraphs (marks: kind, at, key, flags)."""
+    for batch in batches:
+        for part, texts in _groups(batch):
+            yield _payload_group(part, texts)
 
 
 def near(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -316,7 +407,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
         raise ValueError(f"doc_id must be of an integer type, not {docs.schema['doc_id'].dataType.simpleString()}")
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parsed = cut(map_arrow(texts, _parse, PARSED))
+    parsed = cut(texts.mapInArrow(_parse, PARSED))
 
     # windows: runs whose key more than one document holds
     run = parsed.select("doc_id", F.explode(F.arrays_zip("keys", "at")).alias("r")).select("doc_id", F.col("r.keys").alias("key"), F.col("r.at").alias("at"))
@@ -341,7 +432,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     asked = holder.select("first.doc_id", F.lit(SET).alias("kind"), "first.at", F.col("h").alias("key"), F.lit(LEAD).alias("flags"))
 
     marks = cut(marks.unionByName(asked).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "at", "key", "flags")).alias("marks")))
-    found = cut(map_arrow(only(texts, marks).join(marks, "doc_id"), _payload_rows, PAYLOADS))
+    found = cut(only(texts, marks).join(marks, "doc_id").mapInArrow(_payload_rows, PAYLOADS))
 
     return _near_lines(lines, cand, found).unionByName(_equal_windows(found))
 
