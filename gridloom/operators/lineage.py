@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` from a reliable checkpoint in the folder of spark.checkpoint.dir; only where that is unset, as in tests, a local one.
+    """``df`` from a reliable checkpoint in the folder of spark.checkpoint.dir.
 
-    Later steps then plan from stored rows, and a lost executor repeats no step before.
+    Later steps then plan from stored rows, and a lost executor repeats no step before. Only a local master, as in
+    tests, may leave the folder unset; on a cluster no machine's own folder would serve the others, so that is an error.
     """
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint()
