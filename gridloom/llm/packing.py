@@ -1,6 +1,6 @@
 """Packing of tokenised documents into sequences by first-fit decreasing in randomised groups.
 
-Documents are dealt to groups at random, so groups are alike whatever ids or sources are frequent; a
+Documents are dealt to groups by a hash, so groups are alike whatever ids or sources are frequent; a
 group is packed by itself in one task of bounded size. A document is cut into full sequences and a
 remainder. Remainders go, by falling length, to the first bin with room, found by walking down a
 tournament tree of the bins' free room. Then bins are topped up: the emptiest are taken apart and their
@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import fields
 
@@ -190,16 +192,37 @@ def pack(lengths: list[int]) -> list[list[Piece]]:
     return out
 
 
-PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PACKED = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Rows alike are dealt by themselves from so many on; then they are a share of all rows, so there are few such kinds.
+ALIKE, KINDS = 1000, 1000
+
+
+def deal(rows: DataFrame, group_bytes: int) -> tuple[DataFrame, int]:
+    """``rows`` with a group ``grp`` each, and the number of groups.
+
+    A row's group follows from its id and text, so that a task run again deals alike whatever order its rows come in. Rows
+    of one id and text would meet in one group; kinds of rows that make up a thousandth of all are spread by their place.
+    """
+    kind = F.xxhash64("doc_id", "text")
+    size, n = rows.agg(F.sum(F.octet_length("text") + 256), F.count(F.lit(1))).first()
+    groups = max(1, math.ceil((size or 0) / group_bytes))
+    often = rows.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(ALIKE, n // KINDS)).select("kind")
+    # at most KINDS rows
+    both = rows.withColumn("kind", kind).join(F.broadcast(often.withColumn("often", F.lit(True))), "kind", "left")
+    place = F.when(F.col("often"), F.monotonically_increasing_id()).otherwise(0)
+    return both.select("doc_id", "text", F.pmod(F.xxhash64("kind", place, F.lit(17)), F.lit(groups)).alias("grp")), groups
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, group_bytes: int = GROUP_BYTES, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
+
+    Ids may be null or of any type; other columns are not read. A text is encoded whole, one at a time. Remainders of one
+    length are packed in the order in which their group holds them.
+    """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text") + 256)).first()[0] or 0
-    groups = max(1, math.ceil(size / group_bytes))
-    dealt = rows.withColumn("grp", F.floor(F.rand(17) * groups).cast("long"))
-    schema = fields(PACKED + (", ids ints" if with_ids else ""))
+    dealt, groups = deal(rows, group_bytes)
+    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *fields(PACKED + (", ids ints" if with_ids else ""))])
+    id_type = to_arrow_type(rows.schema["doc_id"].dataType)
 
     def run(t: pa.Table) -> pa.Table:
         enc = encoder(tokenizer_path)
@@ -215,7 +238,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, group_bytes: int = GROU
                 out.append((names[doc], start, n, zlib.crc32(piece.tobytes()), len(ids[doc]), (grp << 32) + k, offset))
                 pieces.append(piece)
                 offset += n
-        cols = [pa.array(c, pa.int64()) for c in zip(*out)]
+        cols = [pa.array(c, id_type if i == 0 else pa.int64()) for i, c in enumerate(zip(*out))]
         if with_ids:
             cols.append(pa.array([p.astype(np.int32) for p in pieces], pa.list_(pa.int32())))
         return pa.Table.from_arrays(cols, names=schema.names)
