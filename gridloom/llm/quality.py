@@ -6,8 +6,9 @@ punctuation, digits) and n-gram repetition buckets are hashed like any other n-g
 ``EPOCHS`` passes of FTRL-proximal updates with L1, so rare n-grams keep a weight of exactly zero; a text's
 score is the logistic of a sparse dot product.
 
-Null and empty texts have only the bias. Texts are read whole. Repeated ids give a row each; labels of
-repeated ids are taken once (the greatest).
+Defined cases: null and empty texts have only the bias; texts are read whole, however long; a score of exactly
+``DECISION`` counts as good; repeated ids give a row each, their labels are taken once (the greatest); no documents give
+no rows, and without labels of both classes every text gets about one score; other columns are not read.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def _slot(word: bytes) -> tuple[int, int]:
         for pattern, mark in SHAPES:
             shape = pattern.sub(mark, shape)
         h = xxhash.xxh32_intdigest
-        found = _slots[word] = (h(b"w" + word.lower(), 1), h(b"s" + shape[:12], 2))
+        found = _slots[word] = (h(b"w" + word.lower(), 1), h(b"s" + shape, 2))
     return found
 
 
@@ -126,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     hashed = map_arrow(chosen, run, fields("y int, slots binary, values binary"))
     data = [
         (np.frombuffer(r["slots"], np.int32), np.frombuffer(r["values"], np.float32), r["y"])
-        for r in hashed.orderBy(F.xxhash64("slots", "values")).toLocalIterator()
+        for r in hashed.orderBy(F.xxhash64("slots", "values"), "y").toLocalIterator()
     ]
     model = fit(data)
     share = {
