@@ -6,8 +6,11 @@ configuration syntax: name-literal pairs (``name = "literal"``, ``name: literal`
 another name refers to (``a = "..."`` before or after ``db_password = a``, ``$a``, ``${a}``). A literal is scored by the sensitivity of the names it
 reaches, its character classes and its entropy; those at or above a threshold become `literal` spans.
 
-Positions are code points, end exclusive. A null text counts as empty and has no spans; rows with
-equal ids are each scanned; other columns of the input pass through ``redact`` unchanged.
+Positions are code points, end exclusive.
+
+Defined cases: a null or empty text has no spans, and a null text stays null where it is masked; texts, names and
+literals of any length are read whole, in about linear time; rows with equal ids are each scanned; no rows give no rows;
+ids may be of any type or null; other columns, whatever their names, pass through ``redact`` unchanged.
 """
 
 from __future__ import annotations
@@ -15,8 +18,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -200,7 +204,13 @@ def scan_text(text: str | None) -> tuple[list, list]:
     """(base spans, all spans); a `literal` that a base span holds whole is not repeated."""
     text = text or ""
     base = base_spans(text)
-    extra = [s for s in literals(text) if not any(a <= s[1] and s[2] <= b for _, a, b in base)]
+    # base spans go by their starts: one that begins no later and reaches at least as far holds a literal
+    starts, reach = [s[1] for s in base], list(accumulate((s[2] for s in base), max))
+    extra = []
+    for s in literals(text):
+        k = bisect_right(starts, s[1])
+        if not k or reach[k - 1] < s[2]:
+            extra.append(s)
     return base, base + extra
 
 
