@@ -62,7 +62,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    coded = unigram.encode_documents(docs, unigram.load_pieces(tokenizer_path("piece_bpe_32k.model")))
+    coded = unigram.encode_documents(docs, unigram.load_pieces(tokenizer_path("piece_bpe_32k.model"), ranks=True))
     return coded.select("doc_id", "n_ids", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -6,8 +6,13 @@ As no piece has a marker after another character, the best path splits at every
 character: each such word is solved once and looked up after that. Characters outside all pieces are
 written as bytes (the byte pieces); their cost is the least score less ``UNKNOWN``.
 
+Of paths of one score the one with the longest last piece stands, at every place that paths reach.
+
 Decoding joins pieces, turns runs of byte pieces into text, turns markers into spaces and drops the
-first space. Ids of control pieces have no text. A null text is encoded as empty: no ids.
+first space. Ids of control pieces have no text.
+
+Defined cases: a null or empty text has no ids; very long texts and words are read whole, in time linear in their length;
+repeated ids give a row each; no rows give no rows; ids may be of any type or null, other columns are not read.
 """
 
 from __future__ import annotations
@@ -170,10 +175,10 @@ class Unigram:
         return text.replace(MARK, " ").removeprefix(" ")
 
 
-def load_pieces(path: str) -> list[tuple[str, float, str]]:
+def load_pieces(path: str, ranks: bool = False) -> list[tuple[str, float, str]]:
     """(piece, log score, kind) of each id of a SentencePiece model file.
 
-    Where the file's scores are ranks of merges rather than log probabilities, a piece gets the log of
+    With ``ranks``, for files whose scores are ranks of merges rather than log probabilities, a piece gets the log of
     Zipf's share of its rank among the pieces, by id.
     """
     import sentencepiece
@@ -185,7 +190,7 @@ def load_pieces(path: str) -> list[tuple[str, float, str]]:
     ]
     plain = [i for i, k in enumerate(kinds) if k == "normal"]
     scores = {i: m.get_score(i) for i in plain}
-    if plain and min(scores.values()) < -1000:
+    if ranks:
         whole = math.log(sum(1 / r for r in range(1, len(plain) + 1)))
         scores = {i: -math.log(r) - whole for r, i in enumerate(plain, 1)}
     return [(m.id_to_piece(i), scores.get(i, 0.0), k) for i, k in enumerate(kinds)]
