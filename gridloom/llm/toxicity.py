@@ -11,8 +11,10 @@ E[exp(lambda X)] = 1 under clean tokens and K fitted to clean training texts. Se
 significance passes are reported; their calibrated scores are summed into the document's evidence, and
 two logistic coefficients fitted on training rows turn that into a probability.
 
-Null and empty texts have no tokens and get the probability of no evidence. Texts are read whole.
-Repeated ids give a row each; labels of repeated ids are taken once (the greatest).
+Defined cases: null and empty texts have no tokens and get the probability of no evidence; texts are read whole,
+however long; a score of exactly 0.5 counts as toxic; repeated ids give a row each, their labels are taken once (the
+greatest); no documents give no rows, and without labels of both classes every text gets one score; other columns
+are not read, or kept as they are where documents are filtered.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fields, held_out, map_arrow
+from .common import cut, fields, held_out, map_arrow
 
-#: Bound of the labelled sample per class, of its characters per row, and of the tokens kept in the model.
-SAMPLE_ROWS, MODEL_TOKENS = 3000, 200_000
+#: Bound of the labelled sample per class.
+SAMPLE_ROWS = 3000
 PRIOR, DRIFT, CLIP, STEMS, ERRORS = 0.5, 0.5, 6.0, (4, 6), 3.0
 #: Word scores that one Python worker keeps at hand.
 CACHE = 400_000
@@ -47,6 +49,9 @@ class Model:
     slope: float
     seen: dict[bytes, float] = field(default_factory=dict, repr=False)  # scores met so far
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"seen": {}}
+
     def scores(self, tokens: list[bytes]) -> np.ndarray:
         seen, known = self.seen, self.weights
         if len(seen) > CACHE:
@@ -148,22 +153,19 @@ def log_odds(toxic: Counter, clean: Counter, n1: int, n0: int) -> dict[bytes, fl
             mean[key] = d
             if abs(d - up) > 0.7:
                 out[key] = d - DRIFT
-    return dict(sorted(out.items(), key=lambda x: (-abs(x[1] + DRIFT), x[0]))[:MODEL_TOKENS])
-
-
-def weigh(texts: list[tuple[list[bytes], int]]) -> Model:
-    """Token scores, lambda and K from tokenised training texts."""
-    toxic, clean = Counter(), Counter()
-    often: Counter = Counter()
-    for tokens, y in texts:
-        (toxic if y else clean).update(set(tokens))
-        if not y:
-            often.update(tokens)
-    n1 = sum(y for _, y in texts)
-    model = Model(log_odds(toxic, clean, n1, len(texts) - n1) if toxic and clean else {}, 1.0, 0.0, -4.0, 0.0)
+    return out
+
+
+def weigh(toxic: Counter, clean: Counter, often: Counter, n1: int, n0: int) -> Model:
+    """Token scores and lambda from numbers of texts per token and class, and of occurrences in clean texts."""
+    model = Model(log_odds(toxic, clean, n1, n0) if toxic and clean else {}, 1.0, 0.0, -4.0, 0.0)
     mass: Counter = Counter()
-    for w, s in zip(often, model.scores(list(often)).round(3).tolist()):
-        mass[s] += often[w]
+    words = list(often)
+    for at in range(0, len(words), CACHE):
+        part = words[at : at + CACHE]
+        for w, s in zip(part, model.scores(part).round(3).tolist()):
+            mass[s] += often[w]
+    model.seen.clear()
     values, share = np.array(list(mass), float), np.array(list(mass.values()), float)
     share /= max(share.sum(), 1.0)
     if len(values) and values.max() > 0 and values @ share < 0:
@@ -172,26 +174,17 @@ def weigh(texts: list[tuple[list[bytes], int]]) -> Model:
             mid = (lo + hi) / 2
             lo, hi = (lo, mid) if share @ np.exp(np.minimum(mid * values, 700)) > 1 else (mid, hi)
         model.lam = lo
-    # K: the median over clean texts of what a best segment reaches, as P = 1 - exp(-K n exp(-lambda s))
-    calm = []
-    for tokens, y in texts:
-        if tokens and not y:
-            best = max((s for *_, s in segments(model.scores(tokens))), default=0.0)
-            calm.append(model.lam * best - math.log(len(tokens) + 1))
-    model.log_k = float(np.median(calm)) if calm else 0.0
     return model
 
 
-def fit(texts: list[tuple[list[bytes], int]]) -> Model:
-    """Weights from all texts; the logistic calibration from texts scored by weights of the other half."""
-    model = weigh(texts)
-    x, y = [], []
-    for half in (0, 1):
-        other = weigh(texts[1 - half :: 2])
-        for tokens, label in texts[half::2]:
-            x.append(math.log1p(other.evidence(tokens)[0]))
-            y.append(label)
-    x, y = np.array(x), np.array(y, float)
+def calm(model: Model, tokens: list[bytes]) -> float:
+    """What K would be if a text's best segment were the median: P(best < s) = exp(-K n exp(-lambda s)) = 1/2."""
+    best = max((s for *_, s in segments(model.scores(tokens))), default=0.0)
+    return model.lam * best - math.log(len(tokens) + 1) + math.log(math.log(2))
+
+
+def calibrate(model: Model, x: np.ndarray, y: np.ndarray) -> None:
+    """Sets the logistic coefficients by Newton steps from evidence ``x`` (its log1p) and labels ``y``."""
     if len(y) and 0 < y.sum() < len(y):
         b = np.array([0.0, 1.0])
         ridge = np.array([1e-3, 1.0])  # keeps the slope finite where classes separate
@@ -207,7 +200,6 @@ def fit(texts: list[tuple[list[bytes], int]]) -> Model:
         model.bias, model.slope = float(b[0]), max(0.0, float(b[1]))
     elif len(y):
         model.bias = 4.0 if y.all() else -4.0
-    return model
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
@@ -222,10 +214,71 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFra
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
 
 
+COUNTS = fields("token binary, y int, half int, texts long, times long")
+FOUND = fields("y int, half int, value double, other double")
+
+
+def _counts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(token, y, half, texts, times) over a slice of texts."""
+    n: dict[tuple, list[int]] = {}
+    for text, y, half in zip(*(batch.column(c).to_pylist() for c in ("text", "y", "half"))):
+        for token, times in Counter(tokenize(text)).items():
+            held = n.setdefault((token, y, half), [0, 0])
+            held[0] += 1
+            held[1] += times
+    cols = list(zip(*((*k, *v) for k, v in n.items()))) or [()] * 5
+    kinds = (pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=COUNTS.names)
+
+
+def _told(texts: DataFrame, models: list[Model], value) -> list:
+    """(y, half, value under the whole's model, value under a half's) of each text: ``value(models, half, tokens)``."""
+    shared = texts.sparkSession.sparkContext.broadcast(models)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for text, y, half in zip(*(batch.column(c).to_pylist() for c in ("text", "y", "half"))):
+            rows.append((y, half, *value(shared.value, half, tokenize(text))))
+        cols = list(zip(*rows)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.float64(), pa.float64()))], names=FOUND.names)
+
+    return map_arrow(texts, run, FOUND).collect()
+
+
+def fit(texts: DataFrame) -> Model:
+    """A model of ``texts(text, y)``, distinct texts: weights from all, the calibration from texts scored by weights of the other half.
+
+    Executors count and score; the driver gets the counts of distinct tokens and two numbers per text.
+    """
+    texts = cut(texts.select("text", "y", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(2)).cast("int").alias("half")))
+    n = {(r["y"], r["half"]): r["n"] for r in texts.groupBy("y", "half").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # toxic, clean, occurrences in clean, by half
+    counts = [[Counter(), Counter(), Counter()] for _ in range(2)]
+    rows = map_arrow(texts, _counts, COUNTS).groupBy("token", "y", "half").agg(F.sum("texts").alias("texts"), F.sum("times").alias("times"))
+    for r in rows.toLocalIterator():
+        token, held = bytes(r["token"]), counts[r["half"]]
+        held[0 if r["y"] else 1][token] += r["texts"]
+        if not r["y"]:
+            held[2][token] += r["times"]
+    size = lambda y, *halves: sum(n.get((y, h), 0) for h in halves)
+    models = [weigh(*counts[h], size(1, h), size(0, h)) for h in (0, 1)]
+    for mine, more in zip(*counts):
+        mine.update(more)
+    models.append(weigh(*counts[0], size(1, 0, 1), size(0, 0, 1)))
+    del counts
+    found = [r for r in _told(texts.where("y = 0"), models, lambda m, half, t: (calm(m[2], t), calm(m[half], t)))]
+    middle = lambda v: float(np.median(v)) if len(v) else 0.0
+    models[2].log_k = middle([r["value"] for r in found])
+    for h in (0, 1):
+        models[h].log_k = middle([r["other"] for r in found if r["half"] == h])
+    found = _told(texts, models, lambda m, half, t: (0.0, math.log1p(m[1 - half].evidence(t)[0])))
+    calibrate(models[2], np.array([r["other"] for r in found]), np.array([r["y"] for r in found], float))
+    return models[2]
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on a bounded sample: the executors tokenise, the driver gets token counts of at most 2 x ``rows`` texts."""
-    half = sample(docs, labels, "toxic", rows).dropDuplicates(["text"])
-    return fit([(tokenize(r["text"]), r["y"]) for r in half.orderBy(F.xxhash64("text")).toLocalIterator()])
+    """``fit`` on a bounded sample of labelled texts; a text under several ids counts once, as toxic if any of them is."""
+    return fit(sample(docs, labels, "toxic", rows).groupBy("text").agg(F.max("y").alias("y")).where("text is not null"))
 
 
 SCORE = fields("score double, predicted int, evidence double, n_segments int, segments string")
