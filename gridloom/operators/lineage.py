@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -22,3 +23,27 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
     return df.checkpoint()
+
+
+def by_table(df: DataFrame) -> DataFrame:
+    """``df`` dealt by table_id once and stored, for many steps that work within a table; rows without a table go.
+
+    Joins, groupings and windows whose keys begin with the table then need no further exchange. Joins on more keys than
+    the table's alone take that only with the setting below.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    # a stored frame's partitioning outlives its copies in a plan only where the column is never null
+    df = df.where("table_id is not null").withColumn("table_id", F.coalesce("table_id", F.lit(0).cast("long")))
+    return dealt(df.repartition(int(conf.get("spark.sql.shuffle.partitions")), "table_id"))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``cut`` that keeps the partitioning in mind, which a plan that adapts as it runs does not tell."""
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df)
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)

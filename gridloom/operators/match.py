@@ -41,7 +41,7 @@ def intersection_over_token(cells: DataFrame, tokens: DataFrame) -> DataFrame:
     return (
         _pairs(cells, tokens)
         .where(G.area(G.box("p.")) > 0)
-        .select(F.col("c.table_id").alias(T), "p.pdf_cell_id", "c.cell_id", G.over_second(G.box("c."), G.box("p.")).alias("iopdf"))
+        .select("c.table_id", "p.pdf_cell_id", "c.cell_id", G.over_second(G.box("c."), G.box("p.")).alias("iopdf"))
         .dropDuplicates()
     )
 
@@ -50,7 +50,7 @@ def iou_matches(cells: DataFrame, tokens: DataFrame, threshold: float = 0.05) ->
     """Pairs whose IoU reaches the threshold, with the token's text."""
     return (
         _pairs(cells, tokens)
-        .select(F.col("c.table_id").alias(T), "p.pdf_cell_id", "c.cell_id", G.iou(G.box("c."), G.box("p.")).alias("iou"), "p.text")
+        .select("c.table_id", "p.pdf_cell_id", "c.cell_id", G.iou(G.box("c."), G.box("p.")).alias("iou"), "p.text")
         .where(F.col("iou") >= threshold)
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .lineage import cut
+from .lineage import by_table, dealt
 from .match import T, best_match, drop_empty_tokens, intersection_over_token, no_matches, orphans
 
 #: Beyond so many tokens a table's cells keep their boxes.
@@ -27,10 +27,11 @@ def dimensions(cells: DataFrame) -> DataFrame:
 
 def good_cells(cells: DataFrame, matches: DataFrame) -> DataFrame:
     """Every cell with the number of its matches; good are matched cells of class over 1."""
-    hits = matches.groupBy(T, "cell_id").agg(F.count(F.lit(1)).alias("hits"))
-    return cells.join(hits, [T, "cell_id"], "left").withColumn("hits", F.coalesce("hits", F.lit(0))).withColumn(
-        "is_good", (F.col("cell_class") > 1) & (F.col("hits") > 0)
-    )
+    # names of their own keep the matches' partitioning through the join
+    at = matches.select(F.col(T).alias("hit_table"), F.col("cell_id").alias("hit_cell"))
+    hits = at.groupBy("hit_table", "hit_cell").agg(F.count(F.lit(1)).alias("hits"))
+    both = cells.join(hits, (F.col(T) == F.col("hit_table")) & (F.col("cell_id") == F.col("hit_cell")), "left").drop("hit_table", "hit_cell")
+    return both.withColumn("hits", F.coalesce("hits", F.lit(0))).withColumn("is_good", (F.col("cell_class") > 1) & (F.col("hits") > 0))
 
 
 def column_alignment(good: DataFrame) -> DataFrame:
@@ -62,7 +63,11 @@ def column_medians_simplified(good: DataFrame, alignment: DataFrame) -> DataFram
 
 def move_bad_cells(good: DataFrame, alignment: DataFrame, medians: DataFrame, resize: bool = False) -> DataFrame:
     """Bad cells moved to their column's alignment; with ``resize`` they also get the median size around the median y."""
-    j = good.join(alignment, [T, "column_id"], "left").join(medians, [T, "column_id"], "left")
+    return _moved(good.join(alignment, [T, "column_id"], "left").join(medians, [T, "column_id"], "left"), good.columns, resize)
+
+
+def _moved(j: DataFrame, columns: list[str], resize: bool) -> DataFrame:
+    """Cells with their column's alignment, x, w and h, bad ones moved."""
     x = F.coalesce("x", F.lit(0.0))
     a = F.coalesce("alignment", F.lit("left"))
     width = F.coalesce("w", F.lit(0.0)) if resize else F.col("r") - F.col("l")
@@ -74,7 +79,23 @@ def move_bad_cells(good: DataFrame, alignment: DataFrame, medians: DataFrame, re
         top, bottom = F.col("t"), F.col("b")
     pick = lambda bad, kept: F.when(F.col("is_good"), F.col(kept)).otherwise(bad).alias(kept)
     moved = {"l": pick(left, "l"), "t": pick(top, "t"), "r": pick(left + width, "r"), "b": pick(bottom, "b")}
-    return j.select(*(moved.get(c, F.col(c)) for c in good.columns if c not in ("hits", "is_good")))
+    return j.select(*(moved.get(c, F.col(c)) for c in columns if c not in ("hits", "is_good")))
+
+
+def moved_in_place(good: DataFrame, simple: bool = False) -> DataFrame:
+    """``move_bad_cells`` by windows over a column's cells, with no join on alignments and medians."""
+    column = Window.partitionBy(T, "column_id")
+    middle = (F.col("l") + F.col("r")) / 2
+    spread = lambda v: F.max(F.when(F.col("is_good"), v)).over(column) - F.min(F.when(F.col("is_good"), v)).over(column)
+    g = good.withColumns({"dl": spread(F.col("l")), "dm": spread(middle), "dr": spread(F.col("r"))})
+    kind = F.when((F.col("dl") <= F.col("dm")) & (F.col("dl") <= F.col("dr")), "left").when(F.col("dm") <= F.col("dr"), "middle")
+    g = g.withColumn("alignment", F.when(F.col("dl").isNotNull(), kind.otherwise("right")))
+    ok = F.col("is_good") if simple else F.col("is_good") & F.col("colspan_val").isNull() & F.col("rowspan_val").isNull()
+    often = F.lit(1) if simple else F.greatest(F.col("hits"), F.lit(1))
+    half = lambda v: F.percentile(F.when(ok, v), F.lit(0.5), often).over(column)
+    x = F.when(F.col("alignment") == "left", F.col("l")).when(F.col("alignment") == "middle", middle).otherwise(F.col("r"))
+    found = {"x": half(x)} | ({"w": half(F.col("r") - F.col("l")), "h": half(F.col("b") - F.col("t"))} if simple else {})
+    return _moved(g.withColumns(found), good.columns, simple)
 
 
 def column_scores(cells: DataFrame, initial: DataFrame, recomputed: DataFrame) -> DataFrame:
@@ -158,7 +179,7 @@ def nearest_band(lost: DataFrame, found: DataFrame, line: str, low: str, high: s
     depth = G.band_depth((F.col("x.lo") + F.col("x.hi")) / 2, (F.col(f"o.{low}") + F.col(f"o.{high}")) / 2)
     order = Window.partitionBy(T, "pdf_cell_id").orderBy("depth", line)
     return (
-        j.select(F.col("o.table_id").alias(T), "o.pdf_cell_id", f"x.{line}", depth.alias("depth"))
+        j.select("o.table_id", "o.pdf_cell_id", f"x.{line}", depth.alias("depth"))
         .withColumn("rn", F.row_number().over(order))
         .where("rn = 1")
         .select(T, "pdf_cell_id", line, "depth")
@@ -233,17 +254,15 @@ def refined(cells: DataFrame, tokens: DataFrame, simple: bool = False) -> tuple[
     Steps that several later ones read are checkpointed, as each would otherwise be planned and worked out
     once per reader.
     """
-    initial = cut(intersection_over_token(cells, tokens))
-    good = good_cells(cells, initial)
-    align = column_alignment(good)
-    medians = column_medians_simplified(good, align) if simple else column_medians(good, align)
-    moved = cut(move_bad_cells(good, align, medians, resize=simple))
-    again = cut(intersection_over_token(moved, tokens))
+    cells, tokens = by_table(cells), by_table(tokens)
+    initial = dealt(intersection_over_token(cells, tokens))
+    moved = dealt(moved_in_place(good_cells(cells, initial), simple))
+    again = dealt(intersection_over_token(moved, tokens))
     gone = duplicate_columns(column_scores(moved, again if simple else initial, again))
-    kept = cut(without_columns(moved, gone))
-    best = cut(best_match(again.join(kept.select(T, "cell_id"), [T, "cell_id"], "left_semi")))
-    boxed = cut(first_token_boxes(kept, best, tokens) if simple else align_to_tokens(kept, best, tokens))
-    return boxed, best, cut(orphans(tokens, best))
+    kept = dealt(without_columns(moved, gone))
+    best = dealt(best_match(again.join(kept.select(T, "cell_id"), [T, "cell_id"], "left_semi")))
+    boxed = dealt(first_token_boxes(kept, best, tokens) if simple else align_to_tokens(kept, best, tokens))
+    return boxed, best, dealt(orphans(tokens, best))
 
 
 def run(cells: DataFrame, tokens: DataFrame, dialect: str = "canonical") -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ from ..operators import assemble, decode, evaluate, match, otsl, postprocess, re
 from ..operators.match import T
 from ..sources import files
 from ..sources import fixtures as fx
-from .registry import _BOX, _CELLS, _EMIT, _HTML, CELL5, INTER, OVER, QUERIES, In, _boxes, _r, _responses, query
+from .registry import _BOX, _CELLS, _EMIT, _HTML, CELL5, INTER, OVER, QUERIES, SQL, In, _boxes, _r, _responses, query
 
 # --- tokens and ids
 
@@ -633,3 +633,6 @@ def _(spark, sf):
     found = StubPredictor(2, 3).predict(fx.read(spark, sf, "pages").select("page_id", F.lit(0).alias("table_index")))
     tokens = found.select(F.col("page_id").alias(T), F.posexplode(decode.tags(F.col("ids"))).alias("pos", "tag"))
     return otsl.dimensions(tokens).join(found.select(F.col("page_id").alias(T), F.size("boxes").cast("long").alias("n_boxes")), T).select(F.col(T).alias("page_id"), "n_rows", "n_columns", "n_boxes")
+
+
+__all__ = ["QUERIES", "SQL"]
