@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.lineage import cut
+
+__all__ = ["Forest", "block_pairs", "components", "cut", "fields", "held_out", "map_arrow", "near", "runs", "table"]
+
+#: Size of the bitmap of documents to be looked at again, 4 MB.
+SKETCH_BITS = 1 << 25
 #: Rows of text are handed to Python functions in slices of about so many bytes.
 SLICE_BYTES = 4 << 20
 
@@ -49,39 +53,28 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def ensure_checkpoint(spark: SparkSession) -> None:
-    """Use the folder of spark.checkpoint.dir; only where that is unset (tests) a local one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint."""
-    ensure_checkpoint(df.sparkSession)
-    return df.checkpoint()
-
-
 def _spread_min(pairs: DataFrame) -> DataFrame:
     """For each u the least of itself and its neighbours v, beside every (u, v)."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
     return pairs.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, which is no other edge's u."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected ``edges(u, v)``: one row (node, component) per linked node.
 
-    ``component`` is the least node reachable. Alternates the large-star and small-star steps until
-    the edge set no longer changes, which takes about log(n) rounds; every round is checkpointed, so
-    lost executors only repeat one round. All groupings are minima with map-side combine; a hub's
-    edges are only ever met in plain joins, which Spark can split.
+    ``component`` is the least node reachable. Alternates the large-star and small-star steps until the edges are
+    stars, which takes about log(n) rounds, none where they come as stars; every round is checkpointed, so lost executors
+    only repeat one round. All groupings are minima and sums with map-side combine; a hub's edges meet its least
+    neighbour in a join.
     """
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    while True:
+    while not _are_stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _spread_min(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _spread_min(large)
@@ -91,10 +84,18 @@ def components(edges: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark = now
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def near(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` with ``near``: false only for an id that is not among ``ids``, by a bitmap of fixed size."""
+    bit = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(SKETCH_BITS)) + 1
+    maps = ids.groupBy(F.bitmap_bucket_number(bit()).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit())).alias("bits"))
+    at = F.bitmap_bit_position(bit())
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    # at most SKETCH_BITS / 32768 rows of 4 KB
+    both = docs.join(F.broadcast(maps), F.col("doc_id").isNotNull() & (F.bitmap_bucket_number(bit()) == F.col("bucket")), "left")
+    return both.select(*docs.columns, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias("near"))
 
 
 def block_pairs(rows: DataFrame, key: list[str], member: str, block_rows: int) -> DataFrame:

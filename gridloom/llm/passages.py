@@ -18,7 +18,7 @@ Overlapping windows of a document join to the passage's true first and last word
 than one document holds, the first occurrence (least doc_id, then place) stays.
 
 Texts are parsed once for all keys; only those with candidates are read again. They are picked by a bitmap of
-fixed size (``SKETCH_BITS``, 4 MB, broadcast), which lets some others through and loses none: beyond some
+fixed size (4 MB, broadcast), which lets some others through and loses none: beyond some
 10^8 such documents it spares little, and then whole texts are shuffled. Counting goes by minima and maxima
 with map-side combine, and members meet their class in plain joins with a stored right side, which Spark can
 split, so a passage that a third of the documents hold is no one task's work.
@@ -35,12 +35,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Forest, block_pairs, components, cut, fields, map_arrow, runs
+from .common import Forest, block_pairs, components, cut, fields, map_arrow, near, runs
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, WINDOW_ROWS, SEED = 8, 3, 2, 42
@@ -48,8 +49,6 @@ MIN_WORDS = 50
 #: Shingles of a window.
 WIDTH = MIN_WORDS - SHINGLE + 1
 BLOCK_ROWS = 2048
-#: Size of the bitmap of documents to be read again, 4 MB.
-SKETCH_BITS = 1 << 25
 #: Shingles whose minima are taken at once.
 STEP = 1 << 15
 
@@ -59,7 +58,7 @@ BLANKS = re.compile(r"[ \t\n\r\x0b\x0c]*")
 BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 IN_WORD = np.ones(256, np.int8)
 IN_WORD[list(b" \t\n\r\x0b\x0c")] = 0
-#: Bytes hashed at once, powers kept at hand, characters of texts parsed at once (or one text).
+#: Bytes hashed at once, powers kept at hand, bytes of texts parsed at once (or one text).
 SLICE, TABLE, GROUP = 1 << 18, 1 << 19, 1 << 19
 FACTOR = 0xD1342543DE82EF95
 INVERSE = pow(FACTOR, -1, 1 << 64)
@@ -224,6 +223,10 @@ class Texts:
         """The paragraph's shingles."""
         return self.shingles[w0 : w1 - SHINGLE + 1]
 
+    def line_hash(self, w0: int, w1: int) -> int:
+        h = xxhash.xxh64_intdigest(self.hashes[w0:w1].tobytes(), SEED)
+        return h - (1 << 64) if h >> 63 else h
+
     def window_runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Runs of windows: band key, first window, number of windows, place of the least shingle."""
         n = len(self.hashes) - MIN_WORDS + 1
@@ -248,9 +251,8 @@ PARSED = T.StructType(
     ]
 )
 LEAD, MANY = 1, 2
-#: ``kind``: a run of windows (payload: their hashes) or a paragraph (payload: its shingles).
-RUN, SET = 0, 1
-PAYLOADS = fields("kind int, key long, doc_id long, at int, place int, flags int, payload longs")
+#: A run of windows (payload: their hashes) or, where ``comp`` is not null, a paragraph (payload: its shingles).
+PAYLOADS = fields("key long, doc_id long, at int, place int, flags int, comp long, payload longs")
 
 
 def _texts(batch: pa.RecordBatch):
@@ -258,16 +260,15 @@ def _texts(batch: pa.RecordBatch):
 
 
 def _groups(batch: pa.RecordBatch):
-    """Slices of a batch of about GROUP characters of text, with their texts."""
-    texts = batch.column("text").to_pylist()
-    at = size = 0
-    for i, t in enumerate(texts):
-        if i > at and size + len(t) > GROUP:
-            yield batch.slice(at, i - at), texts[at:i]
-            at, size = i, 0
-        size += len(t)
-    if texts:
-        yield batch.slice(at), texts[at:]
+    """Slices of a batch of about GROUP bytes of text, with their texts."""
+    sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        done = int(sizes[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, done + GROUP, "right")))
+        part = batch.slice(at, end - at)
+        yield part, part.column("text").to_pylist()
+        at = end
 
 
 def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -281,7 +282,7 @@ def _parse_group(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
     keys, first, _, _ = t.window_runs()
     lines = t.lines
     sets = [t.paragraph(a, b) for a, b in lines.tolist()]
-    whole = np.array([xxhash.xxh64_intdigest(t.hashes[a:b].tobytes(), SEED) for a, b in lines.tolist()], np.uint64)
+    whole = np.array([t.line_hash(a, b) for a, b in lines.tolist()], np.int64)
     bands = band_keys(signatures(sets)).ravel() if sets else np.zeros(0, np.int64)
     texts_of = np.arange(len(texts) + 1)
     run_text, line_text = t.owner[first], t.owner[lines[:, 0]]
@@ -301,53 +302,52 @@ def _parse(batches):
             yield _parse_group(part, texts)
 
 
+def _members(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The rows that the members of lists belong to, and the members."""
+    column = column.fill_null([])
+    return np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy())), column.flatten()
+
+
 def _payload_group(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
     t = Texts(texts)
     keys, first, n, place = t.window_runs()
-    keys = keys.view(np.int64)
     windows = grams(t.hashes, MIN_WORDS).view(np.int64)
-    lines = dict(t.lines.tolist())
-    marks = batch.column("marks")
-    of = np.repeat(np.arange(len(texts)), np.diff(marks.offsets.to_numpy()))
-    flat = marks.flatten()
-    kind, at, key, flags = (flat.field(c).to_numpy() for c in ("kind", "at", "key", "flags"))
     docs = batch.column("doc_id").to_numpy()
+    of, codes = _members(batch.column("runs"))
+    codes = codes.to_numpy()
+    at = codes >> 2
     absolute = t.first[of] + at
-    slot = np.searchsorted(first, absolute)
-    rows, payloads = [], []
-    for i, (k, w, s, o) in enumerate(zip(kind.tolist(), absolute.tolist(), slot.tolist(), of.tolist())):
-        # rows of one id are one document: a mark may belong to another text of it
-        if k == RUN and s < len(first) and first[s] == w and keys[s] == key[i] and t.owner[w] == o:
-            payloads.append(windows[w : w + n[s]])
-            rows.append((i, place[s] - w))
-        elif k == SET and w in lines and t.owner[w] == o:
+    slot = np.minimum(np.searchsorted(first, absolute), max(len(first) - 1, 0))
+    # rows of one id are one document: a mark may belong to another text of it
+    good = np.flatnonzero((first[slot] == absolute) & (t.owner[np.minimum(absolute, len(t.owner) - 1)] == of)) if len(first) and len(codes) else np.zeros(0, np.int64)
+    slot = slot[good]
+    payloads = [windows[w : w + k] for w, k in zip(first[slot].tolist(), n[slot].tolist())]
+    rows = [keys.view(np.int64)[slot], docs[of[good]], at[good], place[slot] - first[slot], codes[good] & 3, np.zeros(len(good), np.int64)]
+    # paragraphs
+    lines, sets = dict(t.lines.tolist()), []
+    of, asked = _members(batch.column("sets"))
+    for o, m in zip(of.tolist(), asked.to_pylist()):
+        w = int(t.first[o]) + m["at"]
+        if w in lines and t.owner[w] == o and t.line_hash(w, lines[w]) == m["h"]:
+            sets.append((m["h"], docs[o], m["at"], lines[w] - w, LEAD, m["comp"]))
             payloads.append(np.unique(t.paragraph(w, lines[w])).view(np.int64))
-            rows.append((i, lines[w] - w))
-    i, spot = np.array(rows, np.int64).reshape(-1, 2).T
+    more = np.array(sets, np.int64).reshape(-1, 6).T
+    cols = [np.concatenate([a, b]) for a, b in zip(rows, more)]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+    arrays = [pa.array(c.astype(np.int64), pa.int64()).cast(k) for c, k in zip(cols, kinds)]
+    arrays[5] = pa.array(cols[5].astype(np.int64), pa.int64(), mask=np.arange(len(cols[5])) < len(good))
     ends = np.cumsum([0, *(len(p) for p in payloads)])
-    cols = [kind[i], key[i], docs[of[i]], at[i], spot.astype(np.int32), flags[i]]
     payload = _lists(np.concatenate([np.zeros(0, np.int64), *payloads]), ends, pa.int64())
-    return pa.RecordBatch.from_arrays([*map(pa.array, cols), payload], names=PAYLOADS.names)
+    return pa.RecordBatch.from_arrays([*arrays, payload], names=PAYLOADS.names)
 
 
 def _payload_rows(batches):
-    """Hashes of the windows of marked runs and shingles of marked paragraphs (marks: kind, at, key, flags)."""
+    """Hashes of the windows of marked runs (``runs``: 4 x place + flags) and shingles of marked paragraphs (``sets``: h, at, comp)."""
     for batch in batches:
         for part, texts in _groups(batch):
             yield _payload_group(part, texts)
 
 
-def near(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` with ``near``: false only for an id that is not among ``ids``, by a bitmap of fixed size."""
-    bit = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(SKETCH_BITS)) + 1
-    maps = ids.groupBy(F.bitmap_bucket_number(bit()).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit())).alias("bits"))
-    at = F.bitmap_bit_position(bit())
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    # at most SKETCH_BITS / 32768 rows of 4 KB
-    both = docs.join(F.broadcast(maps), F.col("doc_id").isNotNull() & (F.bitmap_bucket_number(bit()) == F.col("bucket")), "left")
-    return both.select(*docs.columns, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias("near"))
-
-
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` less most of those whose id is not among ``ids``."""
     return near(docs, ids).where("near").drop("near")
@@ -409,37 +409,37 @@ def occurrences(docs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parsed = cut(texts.mapInArrow(_parse, PARSED))
 
-    # windows: runs whose key more than one document holds
+    # windows: runs whose key more than one text has
     run = parsed.select("doc_id", F.explode(F.arrays_zip("keys", "at")).alias("r")).select("doc_id", F.col("r.keys").alias("key"), F.col("r.at").alias("at"))
-    common = run.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
+    common = parsed.select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     held = cut(run.join(cut(common), "key"))
     held = held.join(_first_of(held, "key"), "key")
-    marks = held.select(
-        "doc_id", F.lit(RUN).alias("kind"), "at", "key",
-        (F.when(_is_first(), LEAD).otherwise(0) + F.when(F.col("n") > 2, MANY).otherwise(0)).alias("flags"),
-    )
+    code = F.col("at").cast("long") * 4 + F.when(_is_first(), LEAD).otherwise(0) + F.when(F.col("n") > 2, MANY).otherwise(0)
+    runs_of = held.groupBy("doc_id").agg(F.collect_list(code).alias("runs"))
 
     # paragraphs: components of what collides in a band
     lines = parsed.select("doc_id", F.posexplode(F.arrays_zip("h", "w0", "w1")).alias("k", "p"), "bands")
     lines = lines.select("doc_id", F.col("p.h").alias("h"), F.col("p.w0").alias("at"), F.col("p.w1").alias("stop"), F.slice("bands", F.col("k") * BANDS + 1, BANDS).alias("bands"))
-    banded = lines.select("h", F.posexplode("bands").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("h").alias("lead"), F.max("h").alias("other")).where("lead < other").drop("other")
-    near = banded.join(cut(buckets), ["band", "key"]).where("h <> lead").select(F.col("h").alias("u"), F.col("lead").alias("v")).distinct()
+    banded = lines.select("h", F.explode("bands").alias("key"))
+    common = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    met = cut(banded.join(cut(common), "key").distinct())
+    lead = met.groupBy("key").agg(F.min("h").alias("lead"), F.max("h").alias("other")).where("lead < other").drop("other")
+    near = met.join(cut(lead), "key").where("h <> lead").select(F.col("h").alias("u"), F.col("lead").alias("v")).distinct()
     cand = components(near)
     cand = cut(cand.union(cand.select("component", "component").distinct()).toDF("h", "comp"))
     # one holder of each candidate sends its shingles
-    holder = lines.select("h", "doc_id", "at").join(cand, "h").groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    asked = holder.select("first.doc_id", F.lit(SET).alias("kind"), "first.at", F.col("h").alias("key"), F.lit(LEAD).alias("flags"))
+    holder = lines.select("h", "doc_id", "at").join(cand, "h").groupBy("h", "comp").agg(F.min(F.struct("doc_id", "at")).alias("first"))
+    sets_of = holder.groupBy("first.doc_id").agg(F.collect_list(F.struct("h", "first.at", "comp")).alias("sets"))
 
-    marks = cut(marks.unionByName(asked).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "at", "key", "flags")).alias("marks")))
+    marks = cut(runs_of.join(sets_of, "doc_id", "full_outer"))
     found = cut(only(texts, marks).join(marks, "doc_id").mapInArrow(_payload_rows, PAYLOADS))
 
-    return _near_lines(lines, cand, found).unionByName(_equal_windows(found))
+    return _near_lines(lines, found).unionByName(_equal_windows(found))
 
 
-def _near_lines(lines: DataFrame, cand: DataFrame, found: DataFrame) -> DataFrame:
-    sets = found.where(F.col("kind") == SET).groupBy("key").agg(F.first("payload").alias("shingles")).withColumnRenamed("key", "h")
-    laid = block_pairs(sets.join(cand, "h").select("comp", "h", "shingles"), ["comp"], "h", BLOCK_ROWS)
+def _near_lines(lines: DataFrame, found: DataFrame) -> DataFrame:
+    sets = found.where("comp is not null").select("comp", F.col("key").alias("h"), F.col("payload").alias("shingles"))
+    laid = block_pairs(sets, ["comp"], "h", BLOCK_ROWS)
     order = ["comp", "p", "q"]
     links = laid.repartition(*order).sortWithinPartitions(*order).mapInArrow(_verify, LINKS)
     classes = components(links).withColumnRenamed("node", "h")
@@ -449,36 +449,46 @@ def _near_lines(lines: DataFrame, cand: DataFrame, found: DataFrame) -> DataFram
     )
 
 
-def _bits(places, shift=0):
-    """A mask with the bit of each place, moved by ``shift``."""
+def _bits(places):
+    """A mask with the bit of each place."""
     one = F.lit(1).cast("long")
-    return F.aggregate(places, F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", one, (i + shift).cast("int"))))
+    return F.aggregate(places, F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", one, i)))
+
+
+def _moved(mask, by):
+    """A mask with its bits ``by`` places up, or down where that is negative."""
+    up = F.call_function("shiftleft", mask, by.cast("int"))
+    return F.when(by >= 0, up).otherwise(F.call_function("shiftright", mask, (-by).cast("int")))
 
 
 def _equal_windows(found: DataFrame) -> DataFrame:
     lead = F.col("flags").bitwiseAND(LEAD) > 0
-    rows = found.where(F.col("kind") == RUN)
+    rows = found.where("comp is null").drop("comp")
     first = rows.where(lead).select("key", F.struct("doc_id", "at").alias("first"), F.col("place").alias("first_place"), F.col("payload").alias("model"))
     both = rows.where(~lead).join(first, "key")
     # window i of a run lies as its model's window i + by, seen from the least shingle
     by = F.col("first_place") - F.col("place")
     each = F.sequence(F.lit(0), F.size("payload") - 1)
     same = F.filter(each, lambda i: F.coalesce(F.get("payload", i) == F.get("model", i + by), F.lit(False)))
-    both = cut(both.withColumn("same", same).select("doc_id", "at", "key", "flags", "first", "same", by.alias("by"), "payload"))
-    met = both.where(F.size("same") > 0)
+    both = both.withColumn("same", same)
+    left = (F.col("flags").bitwiseAND(MANY) > 0) & (F.size("same") < F.size("payload"))
+    both = both.select("doc_id", "at", "key", "first", _bits(F.col("same")).alias("mask"), by.alias("by"), F.when(left, F.col("payload")).alias("payload"))
+    both = cut(both.where("mask <> 0 or payload is not null"))
+    met = both.where("mask <> 0").drop("payload")
     unit = lambda kept, mask, first: [kept.alias("kept"), "at", F.lit(None).cast("int").alias("stop"), mask.alias("mask"), F.col("key").alias("cls"), first.alias("first_doc")]
     others = met.where("doc_id <> first.doc_id")
-    members = others.select("doc_id", *unit(F.lit(False), _bits(F.col("same")), F.col("first.doc_id")))
-    models = others.groupBy("key", "first").agg(F.bit_or(_bits(F.col("same"), F.col("by"))).alias("mask"))
+    members = others.select("doc_id", *unit(F.lit(False), F.col("mask"), F.col("first.doc_id")))
+    models = others.groupBy("key", "first").agg(F.bit_or(_moved(F.col("mask"), F.col("by"))).alias("mask"))
     # again in the first document: what others hold too
     again = met.where("doc_id = first.doc_id").join(models.select("key", F.col("mask").alias("held")), "key")
-    again = again.withColumn("same", F.filter("same", lambda i: F.call_function("shiftright", F.col("held"), (i + F.col("by")).cast("int")).bitwiseAND(F.lit(1)) == 1))
-    again = again.select("doc_id", *unit(F.lit(False), _bits(F.col("same")), F.col("first.doc_id"))).where("mask <> 0")
+    again = again.withColumn("mask", F.col("mask").bitwiseAND(_moved(F.col("held"), -F.col("by"))))
+    again = again.where("mask <> 0").select("doc_id", *unit(F.lit(False), F.col("mask"), F.col("first.doc_id")))
     models = models.select("first.*", "key", "mask").select("doc_id", *unit(F.lit(True), F.col("mask"), F.col("doc_id")))
     # windows unlike their model's, among each other
-    left = F.array_except(F.sequence(F.lit(0), F.size("payload") - 1), "same")
-    rest = both.where((F.col("flags").bitwiseAND(MANY) > 0) & (F.size("same") < F.size("payload")))
-    rest = rest.select("doc_id", "at", "payload", F.explode(left).alias("i")).select("doc_id", (F.col("at") + F.col("i")).alias("at"), F.get("payload", "i").alias("key"))
+    rest = both.where("payload is not null").select("doc_id", "at", "mask", F.posexplode("payload").alias("i", "key"))
+    rest = rest.where(_moved(F.col("mask"), -F.col("i")).bitwiseAND(F.lit(1)) == 0).select("doc_id", (F.col("at") + F.col("i")).alias("at"), "key")
+    common = rest.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
+    rest = cut(rest.join(cut(common), "key"))
     other = rest.join(_first_of(rest, "key"), "key").select("doc_id", *unit(_is_first(), F.lit(1).cast("long"), F.col("first.doc_id")))
     return members.unionByName(again).unionByName(models).unionByName(other)
 
