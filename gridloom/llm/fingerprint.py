@@ -9,41 +9,50 @@ similarity of their weights. A sample is written as 8 hex digits of its hash.
 
 Every document is set beside an edited text, whose last quarter of code points is replaced by the first
 as many of the next document. Documents are ordered by id (nulls last), then by the hash of their text;
-after the last comes the first. Neighbours are found within buckets of ids close to each other; only a
-bucket's last document looks further, by an index of buckets. Repeated rows are documents of their own,
-null texts are empty, no rows give no rows.
+after the last comes the first. Neighbours are found within buckets of ids close to each other, nulls in many
+buckets by their hash; only a bucket's last document looks further, by ranges of bucket numbers.
+
+A likeness from n samples has a standard error of at most 1 / (2 sqrt(n)), 0.072 for 48.
+
+Defined cases: repeated rows are documents of their own, null texts are empty, texts are read whole, a single document
+is its own next, no rows give no rows; ids are integers or null (others are an error); other columns are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SAMPLES, WIDTH, SHINGLE = 32, 8, 5
+from .common import cut
+
+SAMPLES, WIDTH, SHINGLE = 48, 8, 5
 #: Terms whose value must exceed FAR times the expected least are passed over; a least beyond it has a chance of exp(-FAR).
 FAR = 32.0
 BLANKS, BLANK_RUN = " \t\n\x0b\x0c\r", "[ \t\n\x0b\x0c\r]+"
-#: Ids that differ only in so many low bits share a bucket; so do buckets in the index above.
-BUCKET_BITS, INDEX_BITS = 9, 10
-LAST = (1 << 62) - 1
+#: Ids that differ only in so many low bits share a bucket; null ids go to buckets by as many high bits of their hash.
+BUCKET_BITS, NULL_BITS = 9, 20
+LAST = 1 << 62
 
 
 def _next_buckets(buckets: DataFrame) -> DataFrame:
     """(b, next_b) for distinct buckets; the last one's next is the first."""
-    near = buckets.select("b", F.shiftright("b", INDEX_BITS).alias("c"))
-    groups = near.groupBy("c").agg(F.min("b").alias("first_b"))
-    # one row for each 2^(BUCKET_BITS + INDEX_BITS) ids
-    whole = Window.orderBy("c")
-    groups = groups.select(
-        "c", F.coalesce(F.lead("first_b").over(whole), F.first("first_b").over(whole.rowsBetween(Window.unboundedPreceding, 0))).alias("after")
-    )
-    return near.join(groups, "c").select("b", F.coalesce(F.lead("b").over(Window.partitionBy("c").orderBy("b")), "after").alias("next_b"))
+    ranged = cut(buckets.repartitionByRange("b").withColumn("part", F.spark_partition_id()))
+    # one row per partition
+    whole = Window.orderBy("part")
+    edges = ranged.groupBy("part").agg(F.min("b").alias("first_b"))
+    edges = edges.select("part", F.coalesce(F.lead("first_b").over(whole), F.min("first_b").over(whole.rowsBetween(Window.unboundedPreceding, 0))).alias("after"))
+    near = F.lead("b").over(Window.partitionBy("part").orderBy("b"))
+    return ranged.withColumn("near", near).join(F.broadcast(edges), "part").select("b", F.coalesce("near", "after").alias("next_b"))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
     """(b, rn): place of a document; doc_id, text; (nb, nrn): place of the next one; its text."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise ValueError(f"doc_id must be of an integer type, not {docs.schema['doc_id'].dataType.simpleString()}")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("b", F.coalesce(F.shiftright(F.col("doc_id").cast("long"), BUCKET_BITS), F.lit(LAST)))
+    nameless = F.lit(LAST) + F.shiftright(F.xxhash64("text"), 64 - NULL_BITS)
+    rows = rows.withColumn("b", F.coalesce(F.shiftright(F.col("doc_id").cast("long"), BUCKET_BITS), nameless))
     inside = Window.partitionBy("b").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
     placed = rows.select(
         "b", "doc_id", "text", F.row_number().over(inside).alias("rn"), F.lead("text").over(inside).alias("next_text")
