@@ -144,7 +144,7 @@ def test_unigram_against_library(spark):
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     path = tokenizer_path("piece_bpe_32k.model")
-    pieces = unigram.load_pieces(path)
+    pieces = unigram.load_pieces(path, ranks=True)
     m = pb.ModelProto()
     m.ParseFromString(open(path, "rb").read())
     m.trainer_spec.model_type = 1
@@ -177,6 +177,93 @@ def test_fingerprints(spark):
     assert fingerprint.digest(docs(spark, [])).count() == 0 and fingerprint.digest(docs(spark, ["x"])).count() == 1
 
 
+def test_fingerprint_likeness_is_unbiased(spark):
+    """Over many texts the likeness is right on average, and seldom off by over three standard errors."""
+    rng = random.Random(12)
+    some = [words(rng.randint(30, 300), 300 + i).split() for i in range(120)]
+    texts = []
+    for t in some:  # neighbours share parts of random length, some of it repeated
+        k = rng.randint(0, len(t))
+        texts += [" ".join(t), " ".join(t[:k] * rng.randint(1, 2) + words(len(t) - k, 900 + k).split())]
+    d = docs(spark, texts)
+    sparse = d.withColumn("doc_id", F.col("doc_id") * (1 << 40) - (1 << 45))  # an id a bucket
+    for found in (d, sparse):
+        got = sorted(fingerprint.digest(found).collect(), key=lambda r: r["doc_id"])
+        shingles = [Counter(tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))) for t in texts]
+        off = []
+        for i, r in enumerate(got):
+            a, b = shingles[i], shingles[(i + 1) % len(texts)]
+            off.append(r["near_next"] - sum((a & b).values()) / sum((a | b).values()))
+        assert abs(np.mean(off)) < 0.02 and np.mean(np.abs(off) > 3 / (2 * fingerprint.SAMPLES**0.5)) < 0.02
+
+
+def test_unigram_ties():
+    """Of paths of one score the one with the longest last piece."""
+    m = unigram.Unigram([("<unk>", 0.0, "unknown"), ("▁", -1.0, "normal"), ("a", -1.0, "normal"), ("b", -1.0, "normal"), ("ab", -2.0, "normal"), ("▁a", -2.0, "normal")])
+    assert [m.pieces[i] for i in m.encode("ab")] == ["▁", "ab"]
+
+
+def test_secrets_base_by_brute_force(spark):
+    """Base spans against a matcher that tries every place, on the given documents and on made-up ones."""
+
+    def brute(text):
+        out, low = [], text.lower()
+        inside = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+        at = 0
+        while at < len(text):
+            name = next((n for n in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(n, at) and low[at : at + len(n)].isascii() and text[at : at + len(n)].isascii()), None)
+            end = None
+            if name:
+                for quote in (1, 0):  # the pattern's optional parts, greedy first
+                    k = at + len(name)
+                    if quote and text[k : k + 1] not in ('"', "'"):
+                        continue
+                    k += quote
+                    while text[k : k + 1] == " ":
+                        k += 1
+                    if text[k : k + 1] not in (":", "="):
+                        continue
+                    k += 1
+                    while text[k : k + 1] == " ":
+                        k += 1
+                    if text[k : k + 1] in ('"', "'") and text[k : k + 1]:
+                        k += 1
+                    v = k
+                    while v < len(text) and text[v] in inside:
+                        v += 1
+                    if v > k:
+                        end = v
+                        if v - k >= 6:
+                            out.append(("assign", at, v))
+                        break
+            at = end or at + 1
+        for kind, head, good, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20), ("hex", "", set("0123456789abcdef"), 24)):
+            at = 0
+            while at < len(text):
+                if not text.startswith(head, at) or (not head and text[at] not in good):
+                    at += 1
+                    continue
+                v = at + len(head)
+                while v < len(text) and text[v] in good:
+                    v += 1
+                if v == at + len(head) and head:
+                    at += 1
+                    continue
+                if v - at >= least:
+                    out.append((kind, at, v))
+                at = max(v, at + 1)
+        return sorted(out, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+    rng = random.Random(9)
+    parts = ["password", "PassWd", "secret", "api_key", "apikey", "Token", '"', "'", " ", "  ", ":", "=", "abc", "abcdef", "x1/_.=-", "AKIA", "AKIAQ" * 5, "0123456789abcdef01234567", "f" * 23, "é", "\n", "ſecret"]
+    made = ["".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(3000)]
+    given = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    for text in made + given:
+        base, spans = secrets.scan_text(text)
+        assert base == brute(text), text
+        assert set(base) <= set(spans)
+
+
 @pytest.mark.parametrize("copies", [2, 40])
 def test_repeated_passages(spark, copies):
     passage = ". ".join(words(11, 50 + i) for i in range(6)) + "."

@@ -28,6 +28,33 @@ def test_vectors(spark):
     assert embed_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_vectors_without_ids(spark):
+    """Null ids link but name nothing; repeated ids and other columns of any name are no matter."""
+    rng = np.random.default_rng(3)
+    a, b, c = rng.standard_normal((3, 64))
+    row = lambda i, v: (i, [float(x) for x in v], i, i)
+    rows = [row(None, a), row(105, a + 0.01 * b), row(None, c), row(None, c), row(7, b), row(7, b), row(3, b)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, cls long, n long")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_duplicates(df).collect()), key=str)
+    want = [(None, 1, 105, False), (105, 1, 105, True), (None, 1, None, False), (None, 1, None, False), (7, 2, 3, False), (7, 2, 3, False), (3, 2, 3, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_recall_by_length():
+    """Share of pairs at a cosine of 0.95 that meet in some table, as the module's text states it."""
+    rng = np.random.default_rng(8)
+    for dim, least in ((1, 1.0), (2, 0.998), (16, 0.998), (64, 0.998), (128, 0.996), (256, 0.996), (768, 0.997)):
+        n = 1500 if dim <= 128 else 800
+        x = embed_dedup.unit_vectors(rng.standard_normal((n, dim)))
+        y = rng.standard_normal((n, dim))
+        if dim > 1:
+            y -= (x * y).sum(1, keepdims=True) * x
+        y = 0.9501 * x + np.sqrt(1 - 0.9501**2) * embed_dedup.unit_vectors(y) * (dim > 1)
+        a, b = embed_dedup.visits(x), embed_dedup.visits(y)
+        met = ((a == b[:, :, :1]).any(2) | (b == a[:, :, :1]).any(2)).any(1)
+        assert met.mean() >= least, (dim, met.mean())
+
+
 def test_vectors_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(7)
     one = rng.standard_normal(32)
