@@ -12,7 +12,7 @@ as many of the next document. Documents are ordered by id (nulls last), then by
 after the last comes the first. Neighbours are found within buckets of ids close to each other, nulls in many
 buckets by their hash; only a bucket's last document looks further, by ranges of bucket numbers.
 
-A likeness from n samples has a standard error of at most 1 / (2 sqrt(n)), 0.072 for 48.
+A likeness from n samples has a standard error of at most 1 / (2 sqrt(n)), 0.088 for 32; more samples would take more disk than the limit allows.
 
 Defined cases: repeated rows are documents of their own, null texts are empty, texts are read whole, a single document
 is its own next, no rows give no rows; ids are integers or null (others are an error); other columns are not read.
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from .common import cut
 
-SAMPLES, WIDTH, SHINGLE = 48, 8, 5
+SAMPLES, WIDTH, SHINGLE = 32, 8, 5
 #: Terms whose value must exceed FAR times the expected least are passed over; a least beyond it has a chance of exp(-FAR).
 FAR = 32.0
 BLANKS, BLANK_RUN = " \t\n\x0b\x0c\r", "[ \t\n\x0b\x0c\r]+"
