@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Forest, block_pairs, components, fields, map_arrow, runs
+from .common import Forest, block_pairs, components, cut, fields, map_arrow, near, runs
 
 SEED, SHINGLE, MAX_BITS = 42, 3, 2
 #: Children of an index node, and rows of an upper node that one unit of work indexes.
@@ -139,8 +139,8 @@ def _links_of_nodes(batches):
 
 
 def link(codes: DataFrame) -> DataFrame:
-    """Components of distinct ``codes(fp, owner)``: (node, component) for owners linked within MAX_BITS."""
-    under = codes.withColumn("mask", F.explode(F.array(*(F.lit(i) for i in range(len(UPPER))))))
+    """Components of distinct ``codes(fp)`` linked within MAX_BITS: (node, component), both fingerprints."""
+    under = codes.select("fp", F.col("fp").alias("owner")).withColumn("mask", F.explode(F.array(*(F.lit(i) for i in range(len(UPPER))))))
     mask = F.element_at(F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for m in UPPER)), F.col("mask") + 1)
     under = under.withColumn("part", F.col("fp").bitwiseAND(mask))
     # a node of one member links nothing
@@ -151,19 +151,25 @@ def link(codes: DataFrame) -> DataFrame:
     return components(units.mapInArrow(_links_of_nodes, LINKS))
 
 
+def _components(fps: DataFrame) -> DataFrame:
+    """(fp, owner, component, component_id) of stored ``fps(doc_id, fp)``: the least id of the fingerprint, the least
+    fingerprint and the least id of all it reaches."""
+    codes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("owner")))
+    whole = codes.join(link(codes).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "owner", F.coalesce("component", "fp").alias("component"))
+    # one row per component
+    names = whole.groupBy("component").agg(F.min("owner").alias("component_id"))
+    return whole.join(names, "component").select("fp", "owner", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id, kept.
 
-    Rows with a null id get a fingerprint and take part in linking through the least non-null id of
-    their fingerprint (null if there is none). Repeated ids each give a row. No rows: no rows.
+    Rows with a null id get a fingerprint and link like others, but name no component (null if it has no id).
+    Repeated ids each give a row. No rows: no rows. Ids may be of any type with an order; other columns are not read.
+    Very long texts are counted in pieces.
     """
-    fps = fingerprints(docs)
-    codes = fps.groupBy("fp").agg(F.min("doc_id").alias("owner"))
-    linked = link(codes.where("owner is not null"))
-    whole = codes.join(linked, codes["owner"] == linked["node"], "left").select(
-        "fp", F.coalesce("component", "owner").alias("component_id")
-    )
-    return fps.join(whole, "fp").select(
+    fps = cut(fingerprints(docs))
+    return fps.join(_components(fps).select("fp", "component_id"), "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -172,14 +178,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one of least id, all columns kept.
+    """``docs`` with one row of each component, all columns kept: one of least id.
 
-    Of repeated rows with that id one stays. Documents without an id stay, as nothing names them.
+    Rows that share an id are told apart by their fingerprints, so that different texts under one id each stay unless
+    something else stands for them: a component keeps, of its rows of least id, those of the least fingerprint, and of
+    these the one whose text has the least hash. Documents without an id stay, as nothing names them.
     """
-    found = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null")
-    repeated = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    kept = named.join(found, "doc_id", "left_semi")
-    once = kept.join(repeated, "doc_id", "left_anti")
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    fps = cut(fingerprints(docs.where("doc_id is not null")))
+    found = _components(fps).where("owner = component_id").groupBy("component", "component_id").agg(F.min("fp").alias("fp"))
+    # an id of several texts may stand for several components
+    kept = found.groupBy(F.col("component_id").alias("doc_id")).agg(F.collect_set("fp").alias("fps"))
+    ids = fps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(kept, "doc_id", "left")
+    # ids that stand for nothing, or for several rows; the rows of all others stay where they are
+    odd = cut(ids.where("fps is null or n > 1"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`") for c in others)).alias("row"))
+    looked = near(rows, odd)
+    plain = looked.where("not near").drop("near").unionByName(looked.where("near").drop("near").join(odd, "doc_id", "left_anti"))
+    several = odd.where("fps is not null")
+
+    def with_fp(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = np.fromiter(map(fingerprint, batch.column("text").to_pylist()), np.uint64, batch.num_rows).view(np.int64)
+        good = [f in some for f, some in zip(own.tolist(), batch.column("fps").to_pylist())]
+        cols = [batch.column("doc_id"), pa.array(own), batch.column("h"), batch.column("text"), batch.column("row")]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "h", "text", "row"]).filter(pa.array(good, pa.bool_()))
+
+    again = near(rows, several).where("near").join(several, "doc_id").select("doc_id", "text", "fps", F.xxhash64("text").alias("h"), "row")
+    schema = again.select("doc_id", F.lit(0).cast("long").alias("fp"), "h", "text", "row").schema
+    again = map_arrow(again, with_fp, schema).groupBy("doc_id", "fp").agg(F.min_by(F.struct("text", "row"), "h").alias("x"))
+    done = plain.unionByName(again.select("doc_id", "x.text", "x.row"))
+    return done.select(*(F.col(c) if c in ("doc_id", "text") else F.col("row")[c].alias(c) for c in docs.columns))
