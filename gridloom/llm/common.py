@@ -44,6 +44,8 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
             rows = max(1, int(batch.num_rows * SLICE_BYTES / max(batch.nbytes, 1)))
             for at in range(0, batch.num_rows, rows):
                 yield fn(batch.slice(at, rows))
+        # a worker lives on after its task
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

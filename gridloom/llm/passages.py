@@ -300,6 +300,7 @@ def _parse(batches):
     for batch in batches:
         for part, texts in _groups(batch):
             yield _parse_group(part, texts)
+    pa.default_memory_pool().release_unused()
 
 
 def _members(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -346,6 +347,7 @@ def _payload_rows(batches):
     for batch in batches:
         for part, texts in _groups(batch):
             yield _payload_group(part, texts)
+    pa.default_memory_pool().release_unused()
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from .common import cut, fields, held_out, map_arrow
 SAMPLE_ROWS = 3000
 PRIOR, DRIFT, CLIP, STEMS, ERRORS = 0.5, 0.5, 6.0, (4, 6), 3.0
 #: Word scores that one Python worker keeps at hand.
-CACHE = 300_000
+CACHE = 100_000
 #: A segment is significant at this natural-log odds beyond what clean text of the length shows.
 SIGNIFICANT = 3.0
 
