@@ -215,9 +215,8 @@ def _(spark, sf):
 @query("pf11_deleted_columns", """SELECT m.table_id, cell_id, m.column_id - (SELECT count(*) FROM gone g WHERE g.table_id=m.table_id AND g.column_id<m.column_id) AS column_id
   FROM moved m ANTI JOIN gone g USING (table_id, column_id)""")
 def _(spark, sf):
-    i = In(spark, sf)
-    m, moved = i.moved()
-    gone = postprocess.duplicate_columns(postprocess.column_scores(moved, m, match.intersection_over_token(moved, i.tok)))
+    moved, scores = In(spark, sf).scores()
+    gone = postprocess.duplicate_columns(scores)
     return postprocess.delete_columns(moved, gone).select(T, "cell_id", "column_id")
 
 
