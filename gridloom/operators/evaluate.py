@@ -5,13 +5,14 @@ Detections: variant, image, ord, label, score, l, t, r, b. Timings: document, st
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .lineage import cut
+from .lineage import cut, within_tables
 
 
 def ranked(found: DataFrame) -> DataFrame:
@@ -56,24 +57,34 @@ def box_count_change(found: DataFrame, variant: str, base: str = "baseline") ->
 def greedy_pairs(found: DataFrame, variant: str, base: str = "baseline", least: float = 0.1) -> DataFrame:
     """One-to-one pairs per image and label: base boxes in order take the best unused box, if its IoU reaches ``least``.
 
-    Candidates come from an equi-join with overlap; the order-dependent choice runs per image.
+    Candidates come from an equi-join with overlap; the order-dependent choice runs over an image's candidates as they come in order.
     """
+    within_tables(found.sparkSession)
     a, b = found.where(F.col("variant") == base).alias("a"), found.where(F.col("variant") == variant).alias("b")
     near = a.join(b, (F.col("a.image") == F.col("b.image")) & (F.col("a.label") == F.col("b.label")) & G.overlaps(G.box("a."), G.box("b."))).select(
         F.col("a.image").alias("image"), F.col("a.label").alias("label"), F.col("a.ord").alias("x"), F.col("b.ord").alias("y"), G.iou(G.box("a."), G.box("b.")).alias("iou")
     )
 
-    def choose(t: pd.DataFrame) -> pd.DataFrame:
-        x, y, iou = (t[c].to_numpy() for c in ("x", "y", "iou"))
-        used, best = set(), {}
-        for i in np.lexsort((y, -iou, x)):
-            if x[i] not in best and y[i] not in used:
-                best[x[i]] = i
-                if iou[i] >= least:
-                    used.add(y[i])
-        return t.iloc[[i for i in best.values() if iou[i] >= least]]
-
-    return near.groupBy("image").applyInPandas(choose, near.schema)
+    order, names = Window.partitionBy("image").orderBy("x", F.desc("iou"), "y"), near.columns
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # an image may go over several batches
+        used, last = set(), ()
+        for batch in batches:
+            keep = []
+            for place, x, y, iou in zip(*(batch.column(c).to_pylist() for c in ("place", "x", "y", "iou"))):
+                if place == 1:
+                    used, last = set(), ()
+                # a base box takes the first unused box, and none if that overlaps too little
+                free = x != last and y not in used
+                keep.append(free and iou >= least)
+                if free:
+                    last = x
+                    if iou >= least:
+                        used.add(y)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(names)
+
+    return near.withColumn("place", F.row_number().over(order)).mapInArrow(choose, near.schema)
 
 
 def label_counts(found: DataFrame) -> DataFrame:
