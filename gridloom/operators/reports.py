@@ -70,14 +70,18 @@ def golden_tables(texts: DataFrame) -> DataFrame:
 
 
 def golden_failures(golden: DataFrame, actual: DataFrame) -> DataFrame:
-    """(image, table_index, failure) of recorded against actual tables (image, num_tables, table_index, canonical), both ways."""
+    """(image, table_index, failure) of recorded against actual tables (image, num_tables, table_index, canonical), both ways.
+
+    The joins are by sorted rows: sizes of parsed texts are guessed far too low, and a recorded corpus is not to be broadcast.
+    """
     pages = lambda d, n: d.groupBy("image").agg(F.max("num_tables").alias(n))
     p = pages(golden, "expected").join(pages(actual, "found"), "image", "full_outer")
     page = F.when(F.col("expected").isNull(), "unexpected page").when(F.col("found").isNull(), "page not produced").when(F.col("expected") != F.col("found"), "table count")
     of_pages = p.select("image", F.lit(None).cast("long").alias("table_index"), page.alias("failure"))
-    known = pages(golden, "n").select("image")
+    known = pages(golden, "n").select("image").hint("merge")
     tables = actual.where("table_index is not null").select("image", "table_index", F.col("canonical").alias("mine")).join(known, "image", "left_semi")
-    tables = tables.join(golden.where("table_index is not null").select("image", "table_index", F.col("canonical").alias("theirs")), ["image", "table_index"], "left")
+    theirs = golden.where("table_index is not null").select("image", "table_index", F.col("canonical").alias("theirs"))
+    tables = tables.join(theirs.hint("merge"), ["image", "table_index"], "left")
     table = F.when(F.col("theirs").isNull(), "missing reference").when(F.col("mine") != F.col("theirs"), "mismatch")
     return of_pages.unionByName(tables.select("image", "table_index", table.alias("failure"))).where("failure is not null")
 
