@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,12 +13,14 @@ from pyspark.sql import types as T
 
 from ..operators.lineage import cut
 
-__all__ = ["Forest", "block_pairs", "components", "cut", "fields", "held_out", "map_arrow", "near", "runs", "table"]
+__all__ = ["Forest", "block_pairs", "components", "cut", "fields", "give_back", "held_out", "map_arrow", "near", "runs", "small_batches", "table"]
 
 #: Size of the bitmap of documents to be looked at again, 4 MB.
 SKETCH_BITS = 1 << 25
 #: Rows of text are handed to Python functions in slices of about so many bytes.
 SLICE_BYTES = 4 << 20
+#: Rows in a batch at most; Spark's 10,000 would be some 50 MB of texts.
+BATCH_ROWS = 1000
 
 
 TYPES = {
@@ -36,6 +39,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, as a worker lives on after its task beside others and the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python functions in batches of bounded size, of which JVM and worker hold some at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType) -> DataFrame:
     """Apply ``fn`` to slices of bounded size; each slice becomes one batch of ``schema``."""
 
@@ -44,9 +62,9 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
             rows = max(1, int(batch.num_rows * SLICE_BYTES / max(batch.nbytes, 1)))
             for at in range(0, batch.num_rows, rows):
                 yield fn(batch.slice(at, rows))
-        # a worker lives on after its task
-        pa.default_memory_pool().release_unused()
+        give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

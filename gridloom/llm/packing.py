@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import fields
+from .common import fields, give_back
 
 LENGTH, END = 2048, 1
 #: Bytes of text (and 256 for each row) that a group holds on average.
@@ -241,6 +241,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, group_bytes: int = GROU
         cols = [pa.array(c, id_type if i == 0 else pa.int64()) for i, c in enumerate(zip(*out))]
         if with_ids:
             cols.append(pa.array([p.astype(np.int32) for p in pieces], pa.list_(pa.int32())))
+        del out, pieces, ids, names
+        give_back()
         return pa.Table.from_arrays(cols, names=schema.names)
 
     shuffled = dealt.repartition(max(1, min(groups, 100_000)), "grp")

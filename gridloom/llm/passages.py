@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Forest, block_pairs, components, cut, fields, map_arrow, near, runs
+from .common import Forest, block_pairs, components, cut, fields, give_back, map_arrow, near, runs
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, WINDOW_ROWS, SEED = 8, 3, 2, 42
@@ -300,7 +300,7 @@ def _parse(batches):
     for batch in batches:
         for part, texts in _groups(batch):
             yield _parse_group(part, texts)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _members(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -347,7 +347,7 @@ def _payload_rows(batches):
     for batch in batches:
         for part, texts in _groups(batch):
             yield _payload_group(part, texts)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
